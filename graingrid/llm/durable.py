@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one in ``spark.checkpoint.dir``. Where that is unset, a
     local session gets a temporary folder; a cluster must name a shared one.
     """
+    _folder(df)
+    return df.checkpoint(eager=True)
+
+
+def _folder(df: DataFrame) -> str:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -26,7 +32,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="graingrid-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame, written as Parquet beside the session's checkpoints and read back."""
+    path = f"{_folder(df)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
