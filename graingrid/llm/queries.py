@@ -8,17 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import op03_decontaminate, op06_langid, op07_mixing, op09_secrets, op10_simhash
+from . import op01_warc, op03_decontaminate, op05_pq, op06_langid, op07_mixing, op09_secrets, op10_simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_warc.query(_read(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_pq.pairs(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return op06_langid.identify(docs, op06_langid.train(docs))
@@ -39,7 +47,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op3_decontaminate": op3_decontaminate,
+        "op5_pq": op5_pq,
         "op6_langid": op6_langid,
         "op7_mixing": op7_mixing,
         "op9_secrets": op9_secrets,
@@ -49,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": op01_warc.ORACLE_SQL}
