@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import op01_warc, op03_decontaminate, op05_pq, op06_langid, op07_mixing, op09_secrets, op10_simhash
+from . import op01_warc, op03_decontaminate, op05_pq, op06_langid, op07_mixing, op08_suffix, op09_secrets, op10_simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", "p_high", "p_low", "p_toxic", "rate", "copies")
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_suffix.passages(_read(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pq": op5_pq,
         "op6_langid": op6_langid,
         "op7_mixing": op7_mixing,
+        "op8_suffix": op8_suffix,
         "op9_secrets": op9_secrets,
         "op10_simhash": op10_simhash,
         "pipeline": corpus_pipeline.run,
