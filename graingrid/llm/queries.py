@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import op01_warc, op03_decontaminate, op05_pq, op06_langid, op07_mixing, op08_suffix, op09_secrets, op10_simhash
+from . import op01_warc, op02_lm, op03_decontaminate, op04_urls, op05_pq, op06_langid, op07_mixing, op08_suffix, op09_secrets, op10_simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,10 +19,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_warc.query(_read(spark, sf_dir, "pages"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return op02_lm.score(docs, *op02_lm.train(docs))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_urls.score(_read(spark, sf_dir, "pages"))
+
+
 def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_pq.pairs(_read(spark, sf_dir, "embeddings"))
 
@@ -52,7 +61,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_lm": op2_lm,
         "op3_decontaminate": op3_decontaminate,
+        "op4_urls": op4_urls,
         "op5_pq": op5_pq,
         "op6_langid": op6_langid,
         "op7_mixing": op7_mixing,
