@@ -1,0 +1 @@
+"""Column expressions: row helpers, text extraction and JSON reading."""
