@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .textcore import U, HashIndex, Words, blocks, flat, fold, _WORD
 
-ORDER, SAMPLE_DOCS, REJECT_BITS = 4, 150, 5.5
+ORDER, SAMPLE_DOCS, REJECT_BITS = 4, 250, 5.5
 SCHEMA = "doc_id long, language string, bits_per_byte double, margin_bits double, accepted boolean"
 
 
