@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Rows times bytes a row below which the smaller side of a join is sent to every executor.
 BROADCAST_BYTES = 64 << 20
@@ -45,5 +44,3 @@ def written(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the frame, best a checkpointed one, has at most ``limit`` bytes."""
     return df.count() * row_bytes <= limit
-
-

@@ -47,7 +47,9 @@ _UPPER, _PUNCT, _SPACE, _DIGIT = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = _SPACE[[9, 10, 11, 12, 13, 32]] = _DIGIT[48:58] = True
 for _r in ((33, 48), (58, 65), (91, 97), (123, 127)):
     _PUNCT[slice(*_r)] = True
-SHAPES = 8
+_PIPE = np.zeros(256, bool)
+_PIPE[124] = True
+SHAPES = 12
 
 
 def features(data: np.ndarray, off: np.ndarray):
@@ -64,7 +66,8 @@ def features(data: np.ndarray, off: np.ndarray):
 
     up, punct = share(_UPPER), share(_PUNCT)
     distinct = np.diff(ptr) / np.maximum(words, 1)
-    shape = np.stack([np.ones(rows), np.minimum(up * 4, 2), np.minimum(punct * 8, 4), share(_DIGIT) * 8, share(_SPACE) * 4, np.log1p(words) / 8, distinct * np.log1p(words) / 4, (distinct < 0.3).astype(float)], 1)
+    steps = [up > 0.25, punct > 0.1, share(_PIPE) > 0.02, distinct < 0.3, distinct < 0.6]
+    shape = np.stack([np.ones(rows), np.minimum(up * 4, 2), np.minimum(punct * 8, 4), share(_DIGIT) * 8, share(_SPACE) * 4, np.log1p(words) / 8, distinct * np.log1p(words) / 4, *(s.astype(float) for s in steps)], 1)
     return key & ((1 << WIDTH_BITS) - 1), ptr, shape, words
 
 
@@ -78,22 +81,31 @@ class Logistic:
         sums = np.concatenate([[0.0], np.cumsum(self.word[key])])
         return sums[ptr[1:]] - sums[ptr[:-1]] + shape @ self.shape
 
-    def fit(self, key, ptr, shape, y, steps: int = 300, rate: float = 0.1, l2: float = 2e-4) -> Logistic:
-        """Adam on the whole sample."""
+    def fit(self, key, ptr, shape, y, steps: int = 300, rate: float = 0.1, l2: float = 1e-4, min_docs: int = 5, telling: float = 4.0) -> Logistic:
+        """Adam on the whole sample; words in few documents, or that don't tell the classes apart by ``telling`` standard errors, could only be learnt by heart and are left out; the others are held down by ``l2``."""
         rows, per = len(y), np.repeat(np.arange(len(y)), np.diff(ptr))
         if not rows or y.min() == y.max():
             self.shape[0] = np.log((y.sum() + 1) / (rows - y.sum() + 1)) if rows else 0.0
             return self
-        used, place = np.unique(key, return_inverse=True)
+        used, place, seen = np.unique(key, return_inverse=True, return_counts=True)
+        # how far, in standard errors, the share of a word's documents that are positive is from that of all
+        share, base = np.bincount(place, y[per], len(used)) / np.maximum(seen, 1), y.mean()
+        often = (seen >= min_docs) & (np.abs(share - base) >= telling * np.sqrt(base * (1 - base) / np.maximum(seen, 1)))
+        keep = often[place]
+        used, place, per = used[often], (np.cumsum(often) - 1)[place[keep]], per[keep]
+        ptr = np.searchsorted(per, np.arange(rows + 1))
         theta = np.zeros(len(used) + SHAPES)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
+        pace = np.full(len(theta), rate)
+        pace[: len(used)] *= 0.3
         for t in range(1, steps + 1):
             sums = np.concatenate([[0.0], np.cumsum(theta[place])])
             z = sums[ptr[1:]] - sums[ptr[:-1]] + shape @ theta[len(used) :]
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / rows
-            g = np.concatenate([np.bincount(place, err[per], len(used)), shape.T @ err]) + l2 * theta
+            g = np.concatenate([np.bincount(place, err[per], len(used)), shape.T @ err])
+            g[: len(used)] += l2 * theta[: len(used)]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            theta -= pace * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.word[used], self.shape = theta[: len(used)], theta[len(used) :]
         return self
 

@@ -15,8 +15,8 @@ or twice in one, is found as follows.
    binary search over lengths gives the common extension of two suffixes in
    logarithmic time, and with it their order. A bottom-up mergesort, all merges
    of a level at once and each by binary search of every suffix in the other
-   run, sorts the suffixes; a second sort over the reversed text orders them by
-   what stands before. Neighbours in either order give extensions to the right
+   run, sorts the suffixes of each anchor hash; a second sort over the reversed
+   text orders them by what stands before. Neighbours in either order give extensions to the right
    and to the left, verified word by word against hash collisions.
 4. Where left and right together reach min_words the span is a repeat. Spans
    of a document are merged; a position is a duplicate if an occurrence with a
@@ -78,11 +78,11 @@ def anchors_of(h: np.ndarray, ptr: np.ndarray, min_words: int, gram: int) -> tup
     if not len(least):
         return np.zeros(0, np.int64), g[:0]
     whole = np.flatnonzero(np.arange(len(least)) + min_words <= stop[: len(least)])
-    # every place that holds the minimum of some whole window
-    is_min = np.zeros(n, bool)
-    for k in range(w):
-        at = whole + k
-        is_min[at[g[at] == least[whole]]] = True
+    # a place is an anchor if it holds the minimum of some whole window: the greatest of those it lies in is its own value
+    low = np.zeros(len(least), np.uint64)
+    low[whole] = least[whole]
+    pad = np.zeros(w - 1, np.uint64)
+    is_min = ~_window_min(~np.concatenate([pad, low, pad]), w) == g
     at = np.flatnonzero(is_min)
     return at, g[at]
 
@@ -180,29 +180,33 @@ class Text:
         wa, wb = np.where(end_a, -1, wa), np.where(end_b, -1, wb)
         return (wa < wb) | ((wa == wb) & (place_a < place_b))
 
-    def suffix_sort(self, start: np.ndarray) -> np.ndarray:
-        """The order of the suffixes, by a bottom-up mergesort; runs of a level are merged at once."""
-        n = len(start)
-        order, width = np.arange(n), 1
-        while width < n:
-            pos = np.arange(n)
-            run = pos // width
-            other = run ^ 1
-            lo, hi = np.minimum(other * width, n), np.minimum(other * width + width, n)
+    def suffix_sort(self, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The order of the suffixes within their groups, which take the places from low to high.
+
+        A bottom-up mergesort; the merges of a level, in all groups that are longer than its runs, are done at once.
+        """
+        order, width = np.arange(len(start)), 1
+        pos = np.flatnonzero(high - low > width)
+        while len(pos):
+            g, stop = low[pos], high[pos]
+            rel = pos - g
+            run = rel // width
+            lo = np.minimum(g + (run ^ 1) * width, stop)
+            hi = np.minimum(lo + width, stop)
             base = lo.copy()
-            s, e = start[order], self.stop[order]
+            own = order[pos]
             while True:
                 todo = np.flatnonzero(lo < hi)
                 if not len(todo):
                     break
                 mid = (lo[todo] + hi[todo]) // 2
-                x, y = order[mid], order[todo]
-                before = self.less(start[x], s[todo], self.stop[x], e[todo], x, y)
+                x, y = order[mid], own[todo]
+                before = self.less(start[x], start[y], self.stop[x], self.stop[y], x, y)
                 lo[todo] = np.where(before, mid + 1, lo[todo])
                 hi[todo] = np.where(before, hi[todo], mid)
-            merged = np.empty(n, np.int64)
-            merged[(run // 2) * 2 * width + (pos - run * width) + (lo - base)] = order
-            order, width = merged, 2 * width
+            order[g + (run // 2) * 2 * width + (rel - run * width) + (lo - base)] = own
+            width *= 2
+            pos = pos[high[pos] - low[pos] > width]
         return order
 
     def verified(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -217,7 +221,7 @@ class Text:
 def repeats(group: np.ndarray, words: np.ndarray, size: np.ndarray, before: np.ndarray, rank: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of windows in a shard: (window, first word, end word, duplicate) of repeats, relative to the anchor.
 
-    ``rank`` orders occurrences; only windows of the same group (anchor hash) are compared.
+    ``group`` (anchor hash) must be sorted, and only windows of the same one are compared; ``rank`` orders occurrences.
     """
     ends = np.cumsum(size)
     begins = ends - size
@@ -226,11 +230,11 @@ def repeats(group: np.ndarray, words: np.ndarray, size: np.ndarray, before: np.n
     # reversed text: what stands before an anchor, nearest word first
     left = Text(words[::-1].copy(), len(words) - begins)
     at_left = len(words) - at
+    low, high = np.searchsorted(group, group), np.searchsorted(group, group, "right")
+    same = np.flatnonzero(group[1:] == group[:-1])
     pairs = []
     for text, start in ((right, at), (left, at_left)):
-        order = text.suffix_sort(start)
-        order = order[np.argsort(group[order], kind="stable")]
-        same = np.flatnonzero(group[order[1:]] == group[order[:-1]])
+        order = text.suffix_sort(start, low, high)
         pairs.append((order[same], order[same + 1]))
     # the first occurrence of each group, too
     first = np.lexsort((rank, group))
@@ -250,30 +254,33 @@ def repeats(group: np.ndarray, words: np.ndarray, size: np.ndarray, before: np.n
 
 
 def _sort_shards(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
+    """Over windows sorted by hash: whole groups, a few thousand windows at a time, which bounds the memory of a task."""
+
+    def repeats_of(t: pa.Table) -> pa.RecordBatch:
         hashes, row, place, before = (t[c].to_numpy() for c in ("hash", "row", "place", "before"))
         data, off = flat(t["words"])
-        words = data.view(np.uint32)
         rank = np.empty(len(row), np.int64)
         rank[np.lexsort((place, row))] = np.arange(len(row))
-        # groups are sorted some at a time, which bounds the arrays of a sort
-        by = np.argsort(hashes, kind="stable")
-        new = np.ones(len(by), bool)
-        new[1:] = hashes[by][1:] != hashes[by][:-1]
-        heads = np.flatnonzero(new)
-        cuts = heads[np.unique(np.searchsorted(heads, np.arange(1 << 15, len(by), 1 << 15)).clip(0, len(heads) - 1))]
-        for part in np.split(by, cuts):
-            if len(part) < 2:
-                continue
-            lo, hi = off[part] // 4, off[part + 1] // 4
-            _, e = ranges(lo, hi)
-            w, first, end, dup = repeats(hashes[part], words[e], hi - lo, before[part].astype(np.int64), rank[part], min_words)
-            if len(w):
-                yield pa.RecordBatch.from_arrays([pa.array(row[part][w]), pa.array((place[part][w] + first).astype(np.int32)), pa.array((place[part][w] + end).astype(np.int32)), pa.array(dup)], ["row", "first", "end", "duplicate"])
+        w, first, end, dup = repeats(hashes, data.view(np.uint32), np.diff(off) // 4, before.astype(np.int64), rank, min_words)
+        return pa.RecordBatch.from_arrays([pa.array(row[w]), pa.array((place[w] + first).astype(np.int32)), pa.array((place[w] + end).astype(np.int32)), pa.array(dup)], ["row", "first", "end", "duplicate"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, wait = [], 0, 1 << 11
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 11):
+                held.append(b.slice(at, 1 << 11))
+                n += held[-1].num_rows
+                if n < wait:
+                    continue
+                t = pa.Table.from_batches(held).combine_chunks()
+                h = t["hash"].to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
+                if cut:
+                    yield repeats_of(t.slice(0, cut))
+                held, n = t.slice(cut).to_batches(), n - cut
+                wait = max(1 << 11, 2 * n)
+        if n:
+            yield repeats_of(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -321,6 +328,6 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     # below a checked size the places are broadcast and the texts don't move
     side = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
     windows = texts.join(side, "row").select("row", "text", "places").mapInArrow(_windows(min_words, gram), "hash long, row long, place int, before int, words binary")
-    found = windows.repartition("hash").mapInArrow(_sort_shards(min_words), "row long, first int, end int, duplicate boolean")
+    found = windows.repartition("hash").sortWithinPartitions("hash").mapInArrow(_sort_shards(min_words), "row long, first int, end int, duplicate boolean")
     spans = found.groupBy("row").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end"), F.collect_list("duplicate").alias("dup"))
     return spans.mapInArrow(_merge, SPANS)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import op01_warc, op02_lm, op03_decontaminate, op04_urls, op05_pq, op06_langid, op07_mixing, op08_suffix, op09_secrets, op10_simhash
+from . import op01_warc, op02_lm, op03_decontaminate, op04_urls, op05_pq, op06_langid, op07_mixing, op08_suffix, op09_secrets
+from . import op10_simhash as simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_simhash.groups(_read(spark, sf_dir, "documents"))
+    return simhash.groups(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

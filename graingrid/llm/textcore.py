@@ -1,7 +1,7 @@
 """Vectorised text primitives shared by the corpus operators.
 
 Texts arrive as Arrow string arrays and are worked on as one flat byte buffer
-with offsets, a block of about a megabyte at a time, so that no step loops
+with offsets, a block of a quarter megabyte at a time, so that no step loops
 over characters or words in Python and memory stays bounded by the block or by
 the longest single text. Nulls count as empty texts.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _WORD = np.zeros(256, bool)
 for _r in ((48, 58), (97, 123), (128, 256)):
