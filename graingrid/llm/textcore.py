@@ -29,7 +29,7 @@ _FOLD[65:91] += 32
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = U(0x9E3779B97F4A7C15)
-_POW = np.ones(64, np.uint64)
+_POW = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
@@ -37,7 +37,7 @@ def powers(n: int) -> np.ndarray:
     global _POW
     if len(_POW) < n:
         with np.errstate(over="ignore"):
-            p = np.full(max(n, 2 * len(_POW)), _BASE)
+            p = np.full(max(n, 64, 2 * len(_POW)), _BASE)
             p[0] = 1
             _POW = np.multiply.accumulate(p)
     return _POW[:n]
