@@ -10,7 +10,8 @@ or twice in one, is found as follows.
 2. Windows. Documents with anchors left are read again and each anchor sends
    the words within min_words of it, as 64-bit hashes cut to 32 bits, to the
    shard of its hash. The windows of a shard are its text, the anchors' places
-   in them its suffixes.
+   in them its suffixes. Of equal windows only the earliest is sorted: the
+   others repeat it from end to end.
 3. Suffix sort. A shard keeps prefix polynomial hashes of its text, so that a
    binary search over lengths gives the common extension of two suffixes in
    logarithmic time, and with it their order. A bottom-up mergesort, all merges
@@ -41,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,10 +213,12 @@ class Text:
 
     def verified(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The lengths n cut to where the words from a and b really are equal."""
-        who, k = ranges(np.zeros(len(n), np.int64), n)
-        bad = self.words[a[who] + k] != self.words[b[who] + k]
         out = n.copy()
-        np.minimum.at(out, who[bad], k[bad])
+        for at in range(0, len(n), 1 << 12):  # a chunk at a time, which bounds the memory
+            part = slice(at, at + (1 << 12))
+            who, k = ranges(np.zeros(len(n[part]), np.int64), n[part])
+            bad = self.words[a[part][who] + k] != self.words[b[part][who] + k]
+            np.minimum.at(out[part], who[bad], k[bad])
         return out
 
 
@@ -253,8 +257,33 @@ def repeats(group: np.ndarray, words: np.ndarray, size: np.ndarray, before: np.n
     return np.concatenate([a, b]), np.concatenate([-k, -k]), np.concatenate([r, r]), np.concatenate([later, ~later])
 
 
+def fold_equal(t: pa.Table, min_words: int) -> tuple[pa.Table, pa.RecordBatch]:
+    """The table with the earliest of each set of equal windows, and the spans that the others make with it.
+
+    Equal windows repeat each other from end to end, which covers every span that another partner could give them, so
+    only the earliest has to be sorted among the others. Windows shorter than min_words can't hold a repeat.
+    """
+    row, place, before = (t[c].to_numpy() for c in ("row", "place", "before"))
+    col = t["words"].combine_chunks()
+    size = pc.binary_length(col).to_numpy() // 4
+    code = col.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((place, row, before, code))
+    order = order[size[order] >= min_words]
+    new = np.ones(len(order), bool)
+    new[1:] = (code[order[1:]] != code[order[:-1]]) | (before[order[1:]] != before[order[:-1]])
+    lead = order[new][np.cumsum(new) - 1] if len(order) else order
+    w = np.concatenate([order[~new], np.unique(lead[~new])])
+    first = place[w] - before[w]
+    dup = np.arange(len(w)) < np.count_nonzero(~new)
+    return t.take(pa.array(np.sort(order[new]))), _span_batch(row[w], first, first + size[w], dup)
+
+
+def _span_batch(row: np.ndarray, first: np.ndarray, end: np.ndarray, dup: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(dup)], ["row", "first", "end", "duplicate"])
+
+
 def _sort_shards(min_words: int):
-    """Over windows sorted by hash: whole groups, a few thousand windows at a time, which bounds the memory of a task."""
+    """Over windows sorted by hash: whole groups of distinct windows, a few thousand at a time, which bounds the memory of a task."""
 
     def repeats_of(t: pa.Table) -> pa.RecordBatch:
         hashes, row, place, before = (t[c].to_numpy() for c in ("hash", "row", "place", "before"))
@@ -262,7 +291,7 @@ def _sort_shards(min_words: int):
         rank = np.empty(len(row), np.int64)
         rank[np.lexsort((place, row))] = np.arange(len(row))
         w, first, end, dup = repeats(hashes, data.view(np.uint32), np.diff(off) // 4, before.astype(np.int64), rank, min_words)
-        return pa.RecordBatch.from_arrays([pa.array(row[w]), pa.array((place[w] + first).astype(np.int32)), pa.array((place[w] + end).astype(np.int32)), pa.array(dup)], ["row", "first", "end", "duplicate"])
+        return _span_batch(row[w], place[w] + first, place[w] + end, dup)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, wait = [], 0, 1 << 11
@@ -272,15 +301,21 @@ def _sort_shards(min_words: int):
                 n += held[-1].num_rows
                 if n < wait:
                     continue
-                t = pa.Table.from_batches(held).combine_chunks()
+                t, spans = fold_equal(pa.Table.from_batches(held).combine_chunks(), min_words)
+                if spans.num_rows:
+                    yield spans
                 h = t["hash"].to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
+                cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last group may go on
                 if cut:
-                    yield repeats_of(t.slice(0, cut))
-                held, n = t.slice(cut).to_batches(), n - cut
+                    yield repeats_of(t.slice(0, cut).combine_chunks())
+                held, n = t.slice(cut).to_batches(), t.num_rows - cut
                 wait = max(1 << 11, 2 * n)
         if n:
-            yield repeats_of(pa.Table.from_batches(held).combine_chunks())
+            t, spans = fold_equal(pa.Table.from_batches(held).combine_chunks(), min_words)
+            if spans.num_rows:
+                yield spans
+            if t.num_rows:
+                yield repeats_of(t.combine_chunks())
 
     return run
 
