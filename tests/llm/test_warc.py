@@ -46,7 +46,7 @@ def test_round_trip(version, packed):
 def test_wrong_and_cut_lengths():
     raw = W.arc_file("f.arc", 1, [(1, "http://a/", "x" * 50), (2, "http://b/", "y" * 60)])
     for wrong in (b" 7\n", b" 90\n"):
-        bad = raw.replace(b"text/html 115\n", b"text/html" + wrong, 1)
+        bad = raw.replace(b"text/html 114\n", b"text/html" + wrong, 1)
         assert bad != raw
         out = list(W.convert_file("p", bad))
         assert [(r[7], r[3]) for r in out[1:]] == [("http://a/", "resynced"), ("http://b/", "ok")]
