@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.functions import pandas_udf
 
 from .rows import pystrip
@@ -57,13 +58,13 @@ def balanced_object(text: str | None, parse: bool = False) -> str | None:
     return None
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def balanced(text: pd.Series) -> pd.Series:
     """First balanced object of each text."""
     return text.map(balanced_object)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def balanced_json(text: pd.Series) -> pd.Series:
     """First balanced object of each text that parses."""
     return text.map(lambda t: balanced_object(t, True))
