@@ -24,6 +24,7 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..durable import checkpointed
 
@@ -298,7 +299,7 @@ def call_model(df: DataFrame, make: Factory, messages: Column, ident: Column | N
             backend.close()
 
     schema = rows.drop("__messages", "__id", "__index", "__options").schema
-    for name, kind in zip(new, ("string", "array<string>", "bigint", "bigint", "string", "string")):
+    for name, kind in zip(new, (T.StringType(), T.ArrayType(T.StringType()), T.LongType(), T.LongType(), T.StringType(), T.StringType())):
         schema = schema.add(name, kind)
     out = rows.mapInArrow(run, schema)
     return checkpointed(out) if keep else out
