@@ -12,11 +12,11 @@ The vocabulary is counted over all documents: the ``TOP`` most frequent words,
 and ``TAIL`` hash classes for all others. Training is noise-contrastive
 estimation in numpy, noise from the words' counts over all documents to the
 power 3/4. It is distributed: in each of ``ROUNDS`` rounds every partition
-takes one position in ``STRIDE`` of each of its documents (another one each
+takes one position in ``ROUNDS`` of each of its documents (another one each
 round), trains from the round's common parameters, and the parameters are
 averaged with the tokens as weights, summed over shuffled shards first. So
-every document takes part, and what is gathered grows with the corpus. Biases
-begin at the words' log frequencies, so an untrained model is the unigram one.
+every position of every document is trained on once. Biases begin at the
+words' log frequencies, so an untrained model is the unigram one.
 
 Defined results: tokens are folded words; text without words (null, empty)
 has n_tokens 0, logprob 0 and null mean and perplexity; words before a text's
@@ -38,7 +38,7 @@ from .durable import checkpointed
 from .textcore import U, HashIndex, Words, as_longs, blocks, flat
 
 TOP, TAIL, DIM, CONTEXT = 768, 256, 32, 2
-ROUNDS, STRIDE, BATCH, NOISE, RATE = 3, 16, 128, 32, 0.15
+ROUNDS, BATCH, NOISE, RATE = 3, 128, 32, 0.15
 SCHEMA = "doc_id long, n_tokens long, logprob double, mean_logprob double, perplexity double"
 
 
@@ -168,7 +168,7 @@ def contexts(ids: np.ndarray, ptr: np.ndarray, context: int, start: int) -> np.n
     return out
 
 
-def _train(sent, turn: int, stride: int, shards: int):
+def _train(sent, turn: int, rounds: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, theta = sent.value
         part = TaskContext.get().partitionId()
@@ -187,7 +187,7 @@ def _train(sent, turn: int, stride: int, shards: int):
                 place = np.arange(len(ids)) - np.repeat(w.ptr[:-1], np.diff(w.ptr))
                 # the text's own first word says where its positions begin, so short texts take part as long ones do
                 own = np.repeat((w.hash[np.minimum(w.ptr[:-1], len(ids) - 1)] >> U(20)).astype(np.int64) if len(ids) else w.ptr[:-1], np.diff(w.ptr))
-                at = np.flatnonzero((place + own + turn * 5) % stride == 0)
+                at = np.flatnonzero((place + own + turn) % rounds == 0)
                 held.append((ctx[at], ids[at]))
                 n, size = n + len(at), size + len(at)
             if size > 1 << 17:
@@ -211,7 +211,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["shard", "n", "theta"])
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, shards: int = 8) -> tuple[Vocabulary, LogBilinear]:
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, shards: int = 8) -> tuple[Vocabulary, LogBilinear]:
     """Vocabulary and model from all documents."""
     spark = docs.sparkSession
     vocab = vocabulary(docs, text_col)
@@ -221,7 +221,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((vocab, model.theta))
         n, total = 0.0, 0.0
-        for r in texts.mapInArrow(_train(sent, turn, stride, shards), form).repartition(shards, "shard").mapInArrow(_sum, form).toLocalIterator():
+        for r in texts.mapInArrow(_train(sent, turn, rounds, shards), form).repartition(shards, "shard").mapInArrow(_sum, form).toLocalIterator():
             n, total = n + r["n"], total + np.frombuffer(r["theta"], np.float64)
         if n:
             model = LogBilinear(vocab.size, theta=total / n)

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 
 from graingrid.llm import op02_lm as L
-from graingrid.llm.textcore import Words, flat
+from graingrid.llm.textcore import U, Words, flat, word_hash
 
 DOCS = "doc_id long, text string, n_tokens string"
 
@@ -56,6 +56,15 @@ def test_noise_contrastive_estimation_learns_a_rule():
     np.testing.assert_allclose(z, 1, rtol=1e-4)
 
 
+def test_every_position_is_trained_on(spark):
+    df = spark.createDataFrame([(k, f"a{k} b{k}", "z") for k in range(200)], DOCS)
+    vocab, model = L.train(df)
+    first = vocab.ids(np.array([word_hash(f"a{k}") for k in range(200)], U))
+    moved = np.abs(model.r - L.LogBilinear(vocab.size).start(vocab.count).r).max(1)
+    # a context is moved only by the position after it, the start symbol's by the first ones
+    assert (moved[first] > 1e-6).all() and moved[vocab.size] > 1e-6
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert L.score(df, *L.train(df)).count() == 0
