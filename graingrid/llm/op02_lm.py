@@ -8,8 +8,14 @@ product gives the scores of the whole vocabulary, their log-sum-exp the
 normaliser, and each token its log-probability. Contexts that repeat in a
 batch are normalised once.
 
-The vocabulary is counted over all documents: the ``TOP`` most frequent words,
-and ``TAIL`` hash classes for all others. Training is noise-contrastive
+The vocabulary is all words of all documents, counted. The ``TOP`` most
+frequent ones and ``TAIL`` hash classes of all others are what the model
+scores; a word of a class has the class's probability times its own count over
+the class's count plus one. The one is the share of a word that wasn't counted,
+so the probabilities of a class's words and of one unknown word sum to the
+class's. Words that stand once have the same share without being looked up;
+the counts of the others are broadcast below ``BROADCAST_BYTES``, and joined to
+the documents' words by a shuffle beyond. Training is noise-contrastive
 estimation in numpy, noise from the words' counts over all documents to the
 power 3/4. It is distributed: in each of ``ROUNDS`` rounds every partition
 takes one position in ``ROUNDS`` of each of its documents (another one each
@@ -34,12 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
-from .textcore import U, HashIndex, Words, as_longs, blocks, flat
+from .durable import BROADCAST_BYTES, checkpointed, small
+from .textcore import U, HashIndex, Words, as_longs, blocks, flat, mix
 
 TOP, TAIL, DIM, CONTEXT = 768, 256, 32, 2
 ROUNDS, BATCH, NOISE, RATE = 3, 128, 32, 0.15
 SCHEMA = "doc_id long, n_tokens long, logprob double, mean_logprob double, perplexity double"
+#: Where the counts are joined: a row for each text, with n 0, and for each word of a class in it
+_PAIRS = "row long, h long, n long, doc_id long, n_tokens long, logprob double"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,14 +58,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Ids of words: a place among the most frequent, or after those a tail class; and every id's count."""
+    """Ids of words: a place among the most frequent, or after those a tail class; and every id's count.
 
-    def __init__(self, top: list[tuple[int, int]], tail: dict[int, int], classes: int):
+    ``words`` has the count of every word that stands more than once; it stays on the driver.
+    """
+
+    def __init__(self, top: list[tuple[int, int]], tail: dict[int, int], classes: int, words: DataFrame | None = None):
+        self.words = words
         self.top, self.classes = len(top), classes
         self.index = HashIndex(np.array([h for h, _ in top], np.int64).view(np.uint64) if top else np.zeros(0, np.uint64))
         self.size = self.top + classes
         self.count = np.array([n for _, n in top] + [max(0, tail.get(k, 0)) for k in range(classes)], np.float64)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": None}
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         at = self.index.find(h)
         return np.where(at >= 0, at, self.top + (h & U(self.classes - 1)).astype(np.int64)).astype(np.int32)
@@ -70,7 +85,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", top: int = TOP, classes:
     tail = {r["k"]: r["n"] for r in counts.groupBy(F.expr(f"int(h & {classes - 1})").alias("k")).agg(F.sum("n").alias("n")).collect()}
     for h, n in best:
         tail[h & (classes - 1)] -= n
-    return Vocabulary(best, tail, classes)
+    return Vocabulary(best, tail, classes, counts.where("n > 1"))
 
 
 class LogBilinear:
@@ -229,33 +244,71 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, shards:
     return vocab, model
 
 
-def _score(sent):
+def _score(sent, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, theta = sent.value
+        vocab, theta, words, counts = sent.value
         model = LogBilinear(vocab.size, theta=theta)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             held, size, done = [], 0, 0
             for i, j, data, off in blocks(*flat(batch.column(1))):
                 w = Words(data, off)
                 ids = vocab.ids(w.hash)
-                held.append((contexts(ids, w.ptr, model.context, vocab.size), ids, np.diff(w.ptr)))
+                tail = np.flatnonzero(ids >= vocab.top)
+                h, share = as_longs(w.hash[tail]), np.zeros(len(ids))
+                share[tail] = -np.log(vocab.count[ids[tail]] + 1)
+                if len(words) and len(h):
+                    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+                    share[tail] += np.log(np.where(words[at] == h, counts[at], 1))
+                held.append((contexts(ids, w.ptr, model.context, vocab.size), ids, np.diff(w.ptr), share, h if joined else h[:0], w.row[tail] + i - done if joined else h[:0]))
                 size += len(ids)
                 if size > 1 << 20 or j == batch.num_rows:
-                    n = np.concatenate([h[2] for h in held])
-                    logp = model.logprob(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])) if size else np.zeros(0)
+                    ctx, ids, n, share, h, of = (np.concatenate(x) for x in zip(*held))
+                    logp = model.logprob(ctx, ids) + share if size else np.zeros(0)
                     total = np.zeros(len(n))
                     full = np.flatnonzero(n)
                     if len(full):
                         total[full] = np.add.reduceat(logp, (np.cumsum(n) - n)[full])
-                    mean = total / np.maximum(n, 1)
-                    none = n == 0
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, j - done), pa.array(n), pa.array(total), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)], [c.split()[0] for c in SCHEMA.split(", ")])
+                    doc = batch.column(0).slice(done, j - done)
+                    if joined:
+                        rows = row + np.arange(len(n))
+                        row += len(n)
+                        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(as_longs(mix(rows))), pa.array(np.zeros(len(n), np.int64)), doc, pa.array(n), pa.array(total)], _names(_PAIRS))
+                        order = np.lexsort((h, of))
+                        h, of = h[order], of[order]
+                        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])) if len(h) else order
+                        for a in range(0, len(new), 1 << 16):
+                            k = new[a : a + (1 << 16)]
+                            many = np.diff(np.append(new[a : a + (1 << 16) + 1], len(h)))[: len(k)]
+                            yield pa.RecordBatch.from_arrays([pa.array(rows[of[k]]), pa.array(h[k]), pa.array(many), *(pa.nulls(len(k), t) for t in (pa.int64(), pa.int64(), pa.float64()))], _names(_PAIRS))
+                    else:
+                        mean = total / np.maximum(n, 1)
+                        none = n == 0
+                        yield pa.RecordBatch.from_arrays([doc, pa.array(n), pa.array(total), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)], _names(SCHEMA))
                     held, size, done = [], 0, j
 
     return run
 
 
-def score(docs: DataFrame, vocab: Vocabulary, model: LogBilinear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def score(docs: DataFrame, vocab: Vocabulary, model: LogBilinear, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_tokens, logprob (natural, summed), its mean and the perplexity, a row for each row."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, model.theta))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_score(sent), SCHEMA)
+    joined = vocab.words is not None and not small(vocab.words, 16, limit)
+    words = counts = np.zeros(0, np.int64)
+    if vocab.words is not None and not joined:
+        table = vocab.words.select("h", "n").toArrow()
+        words, counts = table["h"].to_numpy(), table["n"].to_numpy()
+        order = np.argsort(words)
+        words, counts = words[order], counts[order]
+    sent = docs.sparkSession.sparkContext.broadcast((vocab, model.theta, words, counts))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not joined:
+        return texts.mapInArrow(_score(sent, False), SCHEMA)
+    pairs = texts.mapInArrow(_score(sent, True), _PAIRS).join(vocab.words.select("h", F.col("n").alias("count")).hint("merge"), "h", "left")
+    total = F.max("logprob") + F.sum(F.col("n") * F.log(F.coalesce("count", F.lit(1)).cast("double")))
+    rows = pairs.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), total.alias("logprob"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("logprob") / F.col("n_tokens"))
+    return rows.select("doc_id", "n_tokens", "logprob", mean.alias("mean_logprob"), F.exp(-mean).alias("perplexity"))

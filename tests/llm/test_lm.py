@@ -65,6 +65,33 @@ def test_every_position_is_trained_on(spark):
     assert (moved[first] > 1e-6).all() and moved[vocab.size] > 1e-6
 
 
+def test_words_of_a_class_share_its_probability(spark):
+    # 768 words stand 30 times each; the tail's stand once to five times
+    tail = [f"t{k}" for k in range(600) for _ in range(1 + k % 5)]
+    rows = [(k, " ".join(f"w{(7 * k + j) % L.TOP}" for j in range(L.TOP)) + " " + " ".join(tail[k::30]), "z") for k in range(30)]
+    vocab, model = L.train(spark.createDataFrame(rows, DOCS))
+    words = [f"t{k}" for k in range(600)] + ["neverseen"]
+    df = spark.createDataFrame([(k, t, "z") for k, t in enumerate(words)] + [(None, "t4 t4 neverseen w3", "z"), (0, "t0", "z"), (999, None, "z")], DOCS)
+    got = L.score(df, vocab, model)
+    one = {r.doc_id: r.logprob for r in got.collect() if r.doc_id is not None}
+    h = np.array([word_hash(t) for t in words], U)
+    ids, start = vocab.ids(h), np.full((len(words), model.context), vocab.size, np.int32)
+    assert (ids >= L.TOP).all()
+    whole = model.logprob(start, ids)
+    for k in range(len(words)):
+        n = 1 + k % 5 if k < 600 else 1
+        assert abs(one[k] - whole[k] - np.log(n / (vocab.count[ids[k]] + 1))) < 1e-6
+    # a class's words and one unknown word have the class's whole probability
+    own = np.flatnonzero(ids[:600] == ids[0])
+    assert abs(sum(np.exp(one[k]) for k in own) + np.exp(whole[0]) / (vocab.count[ids[0]] + 1) - np.exp(whole[0])) < 1e-9
+    # beyond the limit the counts are joined, with the same result
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    shuffled = sorted(L.score(df, vocab, model, limit=0).collect(), key=key)
+    assert len(shuffled) == len(words) + 3
+    for a, b in zip(sorted(got.collect(), key=key), shuffled):
+        assert a[:2] == b[:2] and all(x == y or abs(x - y) < 1e-9 * max(1, abs(x)) for x, y in zip(a[2:], b[2:]))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert L.score(df, *L.train(df)).count() == 0
