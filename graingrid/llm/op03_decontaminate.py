@@ -8,8 +8,10 @@ a document position, that is to a diagonal. On each diagonal the item's words
 are compared to the document's over the whole item; the aligned stretch with
 the highest score (1 for an equal word, -``penalty`` for a replaced one) is
 the overlap. An item leaks into a document if its overlap has at least
-``min_words`` equal words, or for shorter items if the whole item is there
-with at most a fifth of its words replaced (none below the seeds' span).
+``min_words`` equal words, or if the whole item is there with at most a fifth
+of its words replaced (none below the seeds' span), wherever they stand: each
+way to replace a fifth of an item of the span or longer leaves a place where
+one of the masks fits.
 
 The documents are scanned once for each benchmark block of ``block_words``
 words, which bounds what is broadcast however large the benchmark is; the
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .textcore import U, Words, blocks, flat, mix, ranges
 
-MASKS = ("1101100011", "1010011101", "1110010011", "1001101011")
+MASKS = ("1101100011", "1010011101", "1110010011", "1001101011", "101111", "1110011")
 MIN_WORDS, LEAST_WORDS, PENALTY, BLOCK_WORDS = 12, 5, 2, 4_000_000
 SCHEMA = "doc_id long, item_id long, matched int, aligned int, doc_word int, item_word int"
 _FILTER_BITS = 22
@@ -117,7 +119,7 @@ def overlaps(block: Block, w: Words, min_words: int, penalty: int) -> dict[str,
         total = np.hstack([np.zeros((len(part), 1), np.int64), np.cumsum(same, axis=1)])
         matched, all_same = total[lines, end + 1] - total[lines, start], total[:, -1]
         span = max(map(len, MASKS))
-        whole = np.where(n < span, all_same == n, 5 * all_same >= 4 * n) & inside[lines, 0] & inside[lines, n - 1] & (n < min_words)
+        whole = np.where(n < span, all_same == n, 5 * all_same >= 4 * n) & inside[lines, 0] & inside[lines, n - 1] & (matched < min_words)
         ok = (matched >= min_words) | whole
         matched = np.where(whole, all_same, matched)
         start, aligned = np.where(whole, 0, start), np.where(whole, n, end + 1 - start)

@@ -1,9 +1,12 @@
+import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from graingrid.llm import op03_decontaminate as D
+from graingrid.llm.textcore import Words, flat
 
 
 def sentence(rng, n):
@@ -76,6 +79,37 @@ def test_places(spark):
     assert [tuple(x) for x in r] == [(1, 5, 14, 15, 2, 0)]
 
 
+@pytest.mark.parametrize("n", [10, 11, 12, 13, 14, 15, 17, 20])
+def test_a_fifth_may_be_replaced_anywhere_at_any_length(n):
+    item = [f"w{k}" for k in range(n)]
+    block = D.Block([7], [" ".join(item)])
+    for many in range(n // 5 + 2):
+        places = list(itertools.combinations(range(n), many))[:5000]
+        texts = [" ".join(["before", *("other" if k in p else w for k, w in enumerate(item)), "after"]) for p in places]
+        got = D.overlaps(block, Words(*flat(pa.array(texts))), D.MIN_WORDS, D.PENALTY)
+        if 5 * many <= n:
+            assert got["row"].tolist() == list(range(len(places)))
+        elif n - many < D.MIN_WORDS:
+            assert not len(got["row"])
+
+
+def test_no_way_to_replace_a_fifth_escapes_all_masks():
+    # fewest replaced words that leave no place for any mask, by what the last words were; 1 is a replaced word
+    masks = [(len(m), int(m, 2)) for m in D.MASKS]
+    span = max(map(len, D.MASKS))
+    fewest = {0: 0}
+    for n in range(1, 101):
+        new = {}
+        for last, c in fewest.items():
+            for b in (0, 1):
+                w = last << 1 | b
+                if all(n < size or w & m for size, m in masks):
+                    k = w & ((1 << span - 1) - 1)
+                    new[k] = min(new.get(k, n), c + b)
+        fewest = new
+        assert n < span or min(fewest.values()) > n // 5
+
+
 def test_edges(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, None), (3, ""), (4, "the of and"), (None, "alpha beta gamma delta epsilon"), (5, "alpha beta gamma delta epsilon")], "item_id long, text string")
     schema = "doc_id long, text string, matched string, item_id long"
