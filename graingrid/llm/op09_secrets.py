@@ -43,7 +43,7 @@ SCHEMA = "doc_id long, start long, end long, role string, kind string, strong bo
 
 _ASSIGNED = r"(?:pass(?:word|wd)?|pwd|secret(?:[_-]?(?:access)?[_-]?key)?|client[_-]?secret|(?:auth|access|api|bearer|refresh)?[_-]?token|api[_-]?key|private[_-]?key|credential)"
 _GIVEN = r"[\"'`]?\s{0,3}(?:=|:|=>|:=)"
-_VALUE = _GIVEN + r"\s{0,3}[\"'`]?([^\s\"'`,;]{6,512})"
+_VALUE = _GIVEN + r"\s{0,3}[\"'`]?([^\s\"'`,;]{6,})"
 #: role, kind, strong by form, pattern; a group is the part's span
 PATTERNS = [
     (r, k, s, re.compile(p.encode()))
@@ -51,11 +51,11 @@ PATTERNS = [
         ("id", "aws_key_id", True, r"(?<![A-Za-z0-9])((?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
         ("id", "user_name", False, r"(?i)(?<![a-z0-9])(?:user(?:[_-]?name)?|login|account|client[_-]?id|access[_-]?key[_-]?id)" + _VALUE),
         ("id", "email", False, r"(?<![\w.+-])([A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,253}\.[A-Za-z]{2,24})(?![\w-])"),
-        ("secret", "private_key", True, r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,16384}-----END [A-Z ]{0,20}PRIVATE KEY-----)?)"),
-        ("secret", "provider_token", True, r"(?<![A-Za-z0-9_-])(gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk-[A-Za-z0-9_-]{20,200}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,64}|eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,8192}\.[A-Za-z0-9_-]{8,4096})"),
+        ("secret", "private_key", True, r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"),
+        ("secret", "provider_token", True, r"(?<![A-Za-z0-9_-])(gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
         ("secret", "assigned", False, r"(?i)(?<![a-z0-9])" + _ASSIGNED + _VALUE),
         ("secret", "bare_key", False, r"(?<![A-Za-z0-9/+=_-])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=_-])"),
-        ("endpoint", "url", False, r"(?i)((?:https?|ftp|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,2048})"),
+        ("endpoint", "url", False, r"(?i)((?:https?|ftp|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,})"),
         ("endpoint", "address", False, r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?::\d{2,5})?)(?![\d.])"),
         ("endpoint", "host", False, r"(?i)(?<![a-z0-9])(?:host(?:name)?|endpoint|server|region)" + _VALUE),
     ]
@@ -63,6 +63,8 @@ PATTERNS = [
 #: Whatever can be a strong part or a secret, a superset of their patterns: without a strong part or a secret nothing is
 #: reported. Linear time, over whole batches; without ``\s``, whose bytes differ between the two pattern engines.
 _HINT = r"(?i:" + _ASSIGNED + _GIVEN.replace(r"\s", r"[\s\x0b]") + r")|AKIA|ASIA|AIDA|AROA|-----BEGIN |gh[pousr]_|xox[abprs]-|sk-|AIza|glpat-|eyJ|[A-Za-z0-9/+]{40}"
+#: A private key goes on to the next of these lines, whatever stands between; without one its first line counts.
+_KEY_END = re.compile(rb"-----END [A-Z ]{0,20}PRIVATE KEY-----")
 _PLACEHOLDER = re.compile(rb"(?i)^(?:<.*>?|\$?\{.*\}?|\*+|x+|\.+|(?:your|my|the|some|example|changeme|dummy|placeholder|none|null|true|false|undefined)[\w-]*)$")
 _COMPLEMENT = {"id": ("secret",), "endpoint": ("secret",), "secret": ("id", "endpoint")}
 
@@ -80,7 +82,14 @@ def parts_of(text: bytes) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, role, kind, strong) in bytes, of each role not overlapping, by start."""
     out = []
     for role, kind, strong, pattern in PATTERNS:
+        closes, past = [m.end() for m in _KEY_END.finditer(text)] if kind == "private_key" else [], 0
         for m in pattern.finditer(text):
+            if kind == "private_key":
+                k = bisect_right(closes, m.end())
+                if m.start() >= past:
+                    past = closes[k] if k < len(closes) else m.end()
+                    out.append((m.start(), past, role, kind, strong))
+                continue
             v = m[1].rstrip(b".)]}>") if kind in ("assigned", "user_name", "host", "url") else m[1]
             if kind in ("assigned", "user_name", "host") and (len(v) < 3 or _PLACEHOLDER.match(v)):
                 continue

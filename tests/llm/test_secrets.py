@@ -78,6 +78,20 @@ def test_every_reported_text_is_scanned(spark):
     assert not any("Zx81kfQ9" in r.text or "hunter2" in r.text for r in S.redact(df).collect())
 
 
+def test_secrets_are_taken_to_their_end():
+    body = "\n".join("aB3/+xYz" * 8 for _ in range(400))
+    long = [f"token={'a1B2c3' * 150}", f"sk-{'a1' * 300}", f"glpat-{'a1' * 60}", f"ghp_{'a1' * 200}", f"xoxb-{'1a' * 200}", f"eyJ{'a1' * 5000}.eyJ{'a1' * 5000}.{'a1' * 5000}"]
+    keys = [f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}\n-----END RSA PRIVATE KEY-----" for head in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n")]
+    for t in long + keys:
+        text = S.redacted(f"x {t} y {t} z".encode()).decode()
+        assert re.fullmatch(r"x (token=)?\[(\w+)\] y (token=)?\[\2\] z", text), text[:200]
+    url = f"https://db.example.com/{'a1' * 2000}"
+    assert S.redacted(f"{url} password=hunter2".encode()) == b"[url] password=[assigned]"
+    # a first line with no last one counts by itself, and many of them take linear time
+    many = S.parts_of(b"-----BEGIN PRIVATE KEY-----\n" * 100_000)
+    assert len(many) == 100_000 and many[0][:2] == (0, 27)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert S.scan(df).count() == 0 and S.redact(df).count() == 0
