@@ -34,7 +34,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op05_pq.pairs(_read(spark, sf_dir, "embeddings"))
+    return op05_pq.classes(_read(spark, sf_dir, "embeddings"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": op01_warc.ORACLE_SQL}
+    return {"op1_warc": op01_warc.ORACLE_SQL, "op5_pq": op05_pq.ORACLE_SQL}
