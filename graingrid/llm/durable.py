@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from ..durable import BROADCAST_BYTES, checkpointed, small, written
 
-__all__ = ["BROADCAST_BYTES", "checkpointed", "small", "without_ids", "written"]
+__all__ = ["BROADCAST_BYTES", "checkpointed", "small", "unused", "without_ids", "written"]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -8,7 +8,9 @@ are read from the right by the version's own pattern, so a URL may hold
 spaces. If what follows a declared length is neither the end nor a newline and
 a header line, the length is wrong: the body then runs to the next header line
 (status ``resynced``), or to the end (``truncated``). Whole files that are
-gzipped, in one or many members, are unpacked first.
+gzipped, in one or many members, are unpacked first; where a member is damaged,
+what it still gives is kept, the record that it cuts has status ``damaged``,
+and reading goes on at the next member that can be read.
 
 Each ARC record becomes one WARC/1.0 record:
 
@@ -59,27 +61,39 @@ _STATUS = re.compile(rb"HTTP/\d(?:\.\d)? +(\d{3})")
 _TYPE = re.compile(rb"(?im)^content-type:[ \t]*([^\r\n;]*)")
 
 
-def unpacked(content: bytes) -> bytes:
-    """The archive without gzip, member by member; of a broken member, what can be read."""
+def unpacked(content: bytes) -> list[bytes]:
+    """The archive without gzip, in pieces between damages; of a broken member, what can be read."""
     if content[:2] != b"\x1f\x8b":
-        return content
+        return [content]
     try:
-        return gzip.decompress(content)
+        return [gzip.decompress(content)]
     except (OSError, EOFError, zlib.error):
-        out = []
-        while content[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            try:
-                out.append(d.decompress(content))
-            except zlib.error:
-                break
-            content = d.unused_data
-        return b"".join(out)
-
-
-def records(content: bytes) -> Iterator[tuple[int, int, re.Match, bytes, str]]:
-    """(offset, version, header line, body, status) of each record of an ARC file."""
-    at, version = 0, 1
+        pass
+    pieces, out, at = [], [], 0
+    while at >= 0:
+        d, left, got = zlib.decompressobj(31), content[at:], 0
+        try:
+            while not d.eof and left:
+                part = d.decompress(left, 1 << 12)
+                left, got = d.unconsumed_tail, got + len(part)
+                out.append(part)
+            whole = d.eof
+        except zlib.error:
+            whole = False
+        if whole:
+            at = len(content) - len(d.unused_data)
+            if content[at : at + 2] == b"\x1f\x8b":
+                continue
+        if out and (got or not whole):
+            pieces.append(b"".join(out))
+            out = []
+        at = content.find(b"\x1f\x8b\x08", at + (not whole))
+    return pieces
+
+
+def records(content: bytes, version: int = 1) -> Iterator[tuple[int, int, re.Match, bytes, str]]:
+    """(offset, version, header line, body, status) of each record of an ARC file, which begins in ``version``."""
+    at = 0
     while at < len(content):
         while content[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -107,6 +121,18 @@ def records(content: bytes) -> Iterator[tuple[int, int, re.Match, bytes, str]]:
         at = stop
 
 
+def _all_records(pieces: list[bytes]) -> Iterator[tuple[int, int, re.Match, bytes, str]]:
+    """The records of all pieces; what a damage cuts is ``damaged``."""
+    base, version = 0, 1
+    for k, piece in enumerate(pieces):
+        for offset, own, m, body, status in records(piece, version):
+            version = own
+            if status != "ok" and k < len(pieces) - 1 and m.end() + len(body) == len(piece):
+                status = "damaged"
+            yield base + offset, own, m, body, status
+        base += len(piece)
+
+
 def _fits(content: bytes, stop: int, line: re.Pattern) -> bool:
     """Whether a record can end at ``stop``: there the file ends, or a newline and a header line follow."""
     if stop > len(content):
@@ -147,7 +173,7 @@ def header(fields: list[tuple[str, str]]) -> str:
 def convert_file(path: str | None, content: bytes) -> Iterator[tuple]:
     """One tuple of SCHEMA for each record of the file."""
     own_date = "1970-01-01T00:00:00Z"
-    for offset, version, m, body, status in records(unpacked(content)):
+    for offset, version, m, body, status in _all_records(unpacked(content)):
         text = [g.decode("utf-8", "replace") for g in m.groups()]
         uri, ip, kind = text[0], text[1], text[3].strip() or "application/octet-stream"
         date = iso_date(text[2], own_date)

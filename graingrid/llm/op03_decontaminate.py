@@ -40,7 +40,7 @@ from .textcore import U, Words, blocks, flat, mix, ranges
 MASKS = ("1101100011", "1010011101", "1110010011", "1001101011", "101111", "1110011")
 MIN_WORDS, LEAST_WORDS, PENALTY, BLOCK_WORDS = 12, 5, 2, 4_000_000
 SCHEMA = "doc_id long, item_id long, matched int, aligned int, doc_word int, item_word int"
-_FILTER_BITS = 22
+_FILTER_BITS, _SPAN, _PAIRS, _CELLS = 22, max(map(len, MASKS)), 1 << 20, 1 << 20
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | U(1)
 
 
@@ -88,19 +88,31 @@ def overlaps(block: Block, w: Words, min_words: int, penalty: int) -> dict[str,
     size = np.diff(w.ptr)
     stop = np.repeat(w.ptr[1:], size)
     row = w.row
-    found = []
+    found = [np.zeros(0, np.int64)]
+    length = np.diff(block.ptr)
+    longest = int(length.max()) if len(length) else 0
+    span = len(w.hash) + longest + 1
     for m in block.masks:
         s, pos = _seeds(w.hash, stop, m)
         k = np.flatnonzero(block.filter[(s >> U(64 - _FILTER_BITS)).astype(np.int64)])
         s, pos = s[k], pos[k]
-        who, e = ranges(np.searchsorted(block.key, s), np.searchsorted(block.key, s, "right"))
-        at = block.at[e]
-        item = block.item[at]
-        found.append(np.stack([row[pos[who]], item, pos[who] - (at - block.ptr[item])], 1))
-    hits = np.unique(np.concatenate(found), axis=0)
+        lo, hi = np.searchsorted(block.key, s), np.searchsorted(block.key, s, "right")
+        # seeds that stand often in both are paired some million at a time, of which each diagonal stays once
+        for part in np.split(np.arange(len(s)), np.searchsorted(np.cumsum(hi - lo), np.arange(_PAIRS, int((hi - lo).sum()), _PAIRS))):
+            who, e = ranges(lo[part], hi[part])
+            at = block.at[e]
+            item, p = block.item[at], pos[part][who]
+            found.append(np.unique((row[p] * len(length) + item) * span + p - (at - block.ptr[item]) + longest))
+    hits = np.unique(np.concatenate(found))
+    hits, diagonal = np.divmod(hits, span)
+    hits = np.stack([*np.divmod(hits, len(length)), diagonal - longest], 1)
     out = [np.zeros((0, 6), np.int64)]
-    length = np.diff(block.ptr)
-    for part in np.split(hits, np.arange(4096, len(hits), 4096)):
+    # short items first, so that the comparisons of a part have at most twice the width they need, and a few million cells
+    hits = hits[np.argsort(length[hits[:, 1]], kind="stable")]
+    width = length[hits[:, 1]]
+    cells = np.cumsum(width)
+    cuts = np.concatenate([np.searchsorted(cells, np.arange(_CELLS, cells[-1], _CELLS)), np.searchsorted(width, 1 << np.arange(3, 40))]) if len(hits) else cells
+    for part in np.split(hits, np.unique(cuts)):
         r, item, diag = part.T
         n = length[item]
         if not len(part):
@@ -118,8 +130,7 @@ def overlaps(block: Block, w: Words, min_words: int, penalty: int) -> dict[str,
         start = np.where((before == low[lines, end][:, None]) & (k <= end[:, None]), k, -1).max(1)
         total = np.hstack([np.zeros((len(part), 1), np.int64), np.cumsum(same, axis=1)])
         matched, all_same = total[lines, end + 1] - total[lines, start], total[:, -1]
-        span = max(map(len, MASKS))
-        whole = np.where(n < span, all_same == n, 5 * all_same >= 4 * n) & inside[lines, 0] & inside[lines, n - 1] & (matched < min_words)
+        whole = np.where(n < _SPAN, all_same == n, 5 * all_same >= 4 * n) & inside[lines, 0] & inside[lines, n - 1] & (matched < min_words)
         ok = (matched >= min_words) | whole
         matched = np.where(whole, all_same, matched)
         start, aligned = np.where(whole, 0, start), np.where(whole, n, end + 1 - start)

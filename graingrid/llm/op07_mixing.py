@@ -22,8 +22,9 @@ do; without labels all posteriors are the even priors; ``copies`` is the rate
 rounded up or down at random by the hash of doc_id, so that its mean is the
 rate; rows with equal or null ids are rated each by itself, alike if their
 texts are alike; of labels that repeat a doc_id the largest count;
-columns of the input named like results (n_tokens, p_high, p_low, p_toxic,
-rate, copies) are replaced, others carried.
+of documents that repeat a labelled doc_id the smallest text trains; columns
+of the input named like results (n_tokens, p_high, p_low, p_toxic, rate,
+copies, in any case) are replaced, others carried.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
+from .durable import checkpointed, unused
 from .textcore import U, Words, blocks, flat
 
 DOMAINS = ("high", "low", "toxic")
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate = int(min(1.0, sample_docs / max(1, n)) * (1 << 30))
     known = known.where(F.pmod(F.xxhash64("__id", F.lit("mix")), F.lit(1 << 30)) < rate).groupBy("__id").agg(F.max("quality").alias("__q"), F.max("toxic").alias("__t"))
     # the sampled labels are bounded by sample_docs, and can be broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(known), "__id").select("__id", "__text", "__q", "__t").collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(known), "__id").groupBy("__id").agg(F.min("__text"), F.first("__q"), F.first("__t")).collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return Domains([r[1] or "" for r in rows], np.array([float(r[2] > 0) for r in rows]), np.array([float(r[3] > 0) for r in rows]))
 
@@ -201,9 +202,9 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = train(docs, labels, id_col, text_col, sample_docs)
     moves = fit_rates(checkpointed(posteriors(docs, model, text_col)), targets)
     sent = docs.sparkSession.sparkContext.broadcast((model, moves))
-    docs = docs.select([c for c in docs.columns if c not in _RESULT])
+    docs = docs.select([c for c in docs.columns if c.lower() not in _RESULT])
     spin = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    ready = docs.withColumn("__spin", spin)
+    ready = docs.withColumn(unused(docs, "spin"), spin)
     place = ready.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

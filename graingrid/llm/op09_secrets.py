@@ -33,6 +33,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -44,12 +45,13 @@ SCHEMA = "doc_id long, start long, end long, role string, kind string, strong bo
 _ASSIGNED = r"(?:pass(?:word|wd)?|pwd|secret(?:[_-]?(?:access)?[_-]?key)?|client[_-]?secret|(?:auth|access|api|bearer|refresh)?[_-]?token|api[_-]?key|private[_-]?key|credential)"
 _GIVEN = r"[\"'`]?\s{0,3}(?:=|:|=>|:=)"
 _VALUE = _GIVEN + r"\s{0,3}[\"'`]?([^\s\"'`,;]{6,})"
+_NAME = _VALUE.replace("{6,}", "{3,}")
 #: role, kind, strong by form, pattern; a group is the part's span
 PATTERNS = [
     (r, k, s, re.compile(p.encode()))
     for r, k, s, p in [
         ("id", "aws_key_id", True, r"(?<![A-Za-z0-9])((?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
-        ("id", "user_name", False, r"(?i)(?<![a-z0-9])(?:user(?:[_-]?name)?|login|account|client[_-]?id|access[_-]?key[_-]?id)" + _VALUE),
+        ("id", "user_name", False, r"(?i)(?<![a-z0-9])(?:user(?:[_-]?name)?|login|account|client[_-]?id|access[_-]?key[_-]?id)" + _NAME),
         ("id", "email", False, r"(?<![\w.+-])([A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,253}\.[A-Za-z]{2,24})(?![\w-])"),
         ("secret", "private_key", True, r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"),
         ("secret", "provider_token", True, r"(?<![A-Za-z0-9_-])(gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
@@ -57,7 +59,7 @@ PATTERNS = [
         ("secret", "bare_key", False, r"(?<![A-Za-z0-9/+=_-])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=_-])"),
         ("endpoint", "url", False, r"(?i)((?:https?|ftp|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,})"),
         ("endpoint", "address", False, r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?::\d{2,5})?)(?![\d.])"),
-        ("endpoint", "host", False, r"(?i)(?<![a-z0-9])(?:host(?:name)?|endpoint|server|region)" + _VALUE),
+        ("endpoint", "host", False, r"(?i)(?<![a-z0-9])(?:host(?:name)?|endpoint|server|region)" + _NAME),
     ]
 ]
 #: Whatever can be a strong part or a secret, a superset of their patterns: without a strong part or a secret nothing is
@@ -106,12 +108,22 @@ def parts_of(text: bytes) -> list[tuple[int, int, str, str, bool]]:
     return kept
 
 
+def characters(text: bytes):
+    """From places in bytes to places in characters; what isn't ASCII is counted once, however many places are asked for."""
+    if text.isascii():
+        return lambda b: b
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    return lambda b: None if b is None else int(before[b])
+
+
 def linked(text: bytes, reach: int = REACH) -> list[tuple]:
-    """The reported parts of a text: (start, end, role, kind, strong, id_start, secret_start, endpoint_start, partners) in bytes."""
+    """The reported parts of a text: (start, end, role, kind, strong, id_start, secret_start, endpoint_start, partners), starts and ends in characters."""
     parts = parts_of(text)
     if not parts:
         return []
-    breaks = [m.end() for m in re.finditer(rb"\n[ \t\r]*\n", text)]
+    at = characters(text)
+    breaks = [at(m.end()) for m in re.finditer(rb"\n[ \t\r]*\n", text)]
+    parts = [(at(p[0]), at(p[1]), *p[2:]) for p in parts]
     by = {}
     for p in parts:
         by.setdefault((bisect_right(breaks, p[0]), p[2]), []).append(p)
@@ -149,11 +161,9 @@ def _scan(reach: int):
         for batch in batches:
             rows, at = [], []
             for k in _hinted(batch.column(1)):
-                text = _bytes(batch.column(1), k)
-                chars = lambda b, t=text: None if b is None else len(t[:b].decode("utf-8", "replace"))
-                for s, e, role, kind, strong, *near, n in linked(text, reach):
-                    rows.append((chars(s), chars(e), role, kind, strong, *map(chars, near), n))
-                    at.append(k)
+                found = linked(_bytes(batch.column(1), k), reach)
+                rows += found
+                at += [k] * len(found)
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names)
@@ -168,12 +178,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 
 def redacted(text: bytes, reach: int = REACH) -> bytes:
     """The text with ``[kind]`` for its reported parts."""
-    out, at = [], 0
-    for s, e, _, kind, *_ in sorted(linked(text, reach), key=lambda p: (p[0], -p[1])):
+    found = linked(text, reach)
+    if not found:
+        return text
+    whole, out, at = text.decode("utf-8", "replace"), [], 0
+    for s, e, _, kind, *_ in sorted(found, key=lambda p: (p[0], -p[1])):
         if s >= at:
-            out += [text[at:s], b"[" + kind.encode() + b"]"]
+            out += [whole[at:s], f"[{kind}]"]
         at = max(at, e)
-    return b"".join(out) + text[at:]
+    return ("".join(out) + whole[at:]).encode()
 
 
 def redact(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import checkpointed, small, without_ids
+from .durable import checkpointed, small, unused, without_ids
 from .textcore import U, Words, as_longs, blocks, flat, mix, ranges
 
 BITS, RADIUS, PAIR_RADIUS, TABLES, KEY_BITS = 128, 20, 32, 32, 16
@@ -140,12 +140,12 @@ class Forest:
         order = np.argsort(key)
         self.kids, self.key = kids[order], key[order]
 
-    def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) pairs, node before query, within the radius; queries are places in the forest."""
+    def near(self, queries: np.ndarray, radius: int, others: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) pairs within the radius, node before query or one of ``others``, which are no queries; queries are places in the forest."""
         q, node = queries, self.root[queries]
         while len(q):
             d = _hamming(self.sig[q], self.sig[node])
-            hit = (d <= radius) & (node < q)
+            hit = (d <= radius) & (node < q if others is None else (node < q) | others[node])
             yield q[hit], node[hit]
             base = node * (BITS + 1)
             lo = np.searchsorted(self.key, base + np.maximum(d - radius, 0))
@@ -164,11 +164,15 @@ def linked(ids: np.ndarray, sig: np.ndarray, shard: np.ndarray, radius: int, pai
     if not len(ids):
         return ids, ids
     forest = Forest(np.ascontiguousarray(sig[:, :2]), shard)
+    # what is near its tree's root is in the root's component, and needn't be compared to others near the root
+    root = forest.root
+    core = (_hamming(forest.sig, forest.sig[root]) <= radius) & (_hamming(sig[:, 2:], sig[root, 2:]) <= pair_radius)
+    label = np.where(core, root, np.arange(len(ids)))
     _, size = np.unique(shard, return_counts=True)
-    load = np.cumsum(np.repeat(size, size))
-    label = np.arange(len(ids))
-    for chunk in np.split(np.arange(len(ids)), np.searchsorted(load, np.arange(1 << 19, load[-1], 1 << 19))):
-        for q, node in forest.near(chunk, radius):
+    rest = np.flatnonzero(~core)
+    load = np.cumsum(np.repeat(size, size)[rest])
+    for chunk in np.split(rest, np.searchsorted(load, np.arange(1 << 19, load[-1], 1 << 19))) if len(rest) else ():
+        for q, node in forest.near(chunk, radius, core):
             ok = _hamming(sig[q, 2:], sig[node, 2:]) <= pair_radius
             q, node = q[ok], node[ok]
             while len(q):
@@ -191,14 +195,27 @@ def _edges_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _search_shards(radius: int, pair_radius: int):
+    """Over points in the order of shards: whole shards, some tens of thousands of points at a time."""
+
+    def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+        return _edges_batch(*linked(cols[1], np.stack(cols[2:], 1).view(np.uint64), cols[0], radius, pair_radius))
+
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        col = lambda c: t[c].to_numpy()
-        sig = np.stack([col(c) for c in ("u0", "u1", "b0", "b1")], 1).view(np.uint64)
-        yield _edges_batch(*linked(col("id"), sig, col("shard"), radius, pair_radius))
+        held, n, wait = [], 0, 1 << 16
+        for b in batches:
+            if b.num_rows:
+                held.append([c.to_numpy() for c in b.columns])
+                n += b.num_rows
+            if n < wait:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shard may go on
+            if cut:
+                yield found([c[:cut] for c in cols])
+            held, n = [[c[cut:] for c in cols]], len(cols[0]) - cut
+            wait = max(1 << 16, 2 * n)
+        if n:
+            yield found([np.concatenate(c) for c in zip(*held)])
 
     return run
 
@@ -248,18 +265,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     """doc_id and group_id, the smallest doc_id of the group, of every document in a group of two or more."""
     spark = docs.sparkSession
     sigs = checkpointed(signatures(docs, id_col, text_col))
-    points = checkpointed(sigs.groupBy("u0", "u1", "b0", "b1").agg(F.min("id").alias("id")).select("id", "u0", "u1", "b0", "b1"))
+    key = ["u0", "u1", "b0", "b1"]
+    folded = checkpointed(sigs.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    points = folded.select("id", *key)
     if small(points, 40, broadcast_bytes):
         t = points.toArrow()
         sig = np.stack([t[c].to_numpy() for c in ("u0", "u1", "b0", "b1")], 1).view(np.uint64)
         sent = spark.sparkContext.broadcast((t["id"].to_numpy(), sig))
         edges = spark.range(0, TABLES, 1, TABLES).mapInArrow(_search_tables(sent, radius, pair_radius), EDGES)
     else:
-        edges = points.mapInArrow(_to_shards, "shard int, " + POINTS).repartition("shard").mapInArrow(_search_shards(radius, pair_radius), EDGES)
+        edges = points.mapInArrow(_to_shards, "shard int, " + POINTS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_shards(radius, pair_radius), EDGES)
     merged = components(edges)
-    w = Window.partitionBy("u0", "u1", "b0", "b1")
-    rooted = sigs.withColumn("point", F.min("id").over(w)).select("id", "point").join(merged.select(F.col("id").alias("point"), "root"), "point", "left").select("id", F.coalesce("root", "point").alias("group_id")).distinct()
-    found = rooted.where("id <> group_id")
+    # only points of groups are joined back to their documents
+    grouped = folded.join(merged, "id", "left").where("n > 1 or root is not null").select(*key, F.coalesce("root", "id").alias("group_id"))
+    grouped = checkpointed(grouped)
+    rooted = sigs.join(F.broadcast(grouped) if small(grouped, 40) else grouped, key).select("id", "group_id")
+    found = rooted.where("id <> group_id").distinct()
     roots = found.select(F.col("group_id").alias("id")).distinct().withColumn("group_id", F.col("id"))
     return found.union(roots).select(F.col("id").alias("doc_id"), "group_id").distinct()
 
@@ -276,7 +297,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = checkpointed(again)
     if again.isEmpty():
         return left.select(docs.columns)
-    mark = "__place"
+    mark = unused(left, "place")
     w = Window.partitionBy(id_col).orderBy(F.to_json(F.struct(*docs.columns)))
     one = left.join(again, id_col, "left_semi").withColumn(mark, F.row_number().over(w)).where(F.col(mark) == 1).drop(mark)
     return without_ids(left, again, id_col).select(docs.columns).union(one.select(docs.columns))

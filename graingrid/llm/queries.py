@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": op01_warc.ORACLE_SQL, "op5_pq": op05_pq.ORACLE_SQL}
+    return {"op1_warc": op01_warc.ORACLE_SQL, "op5_pq": op05_pq.ORACLE_SQL, "op8_suffix": op08_suffix.ORACLE_SQL}

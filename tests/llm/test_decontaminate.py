@@ -1,3 +1,4 @@
+import time
 import itertools
 import random
 import re
@@ -121,3 +122,13 @@ def test_edges(spark):
     none = items.where("false")
     assert D.leaks(docs, none).count() == 0 and D.remove(docs, none).count() == 6
     assert D.leaks(docs.where("false"), items).count() == 0
+
+
+def test_repetitive_items_and_documents(spark):
+    """Every place of the item fits every place of the document."""
+    bench = spark.createDataFrame([(1, "ha " * 300), (2, " ".join(f"w{k}" for k in range(20000))), (3, "one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "ha " * 12000), (2, "ho " * 12000), (3, " ".join(f"w{k}" for k in range(5000, 5040))), (4, "na na one two three four five six na")], "doc_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): r.matched for r in D.leaks(docs, bench).collect()}
+    assert got == {(1, 1): 300, (3, 2): 40, (4, 3): 6} and time.time() - began < 40
+    assert {r.doc_id for r in D.remove(docs, bench).collect()} == {2}

@@ -63,3 +63,12 @@ def test_edges(spark):
     assert {round(r.p_high, 6) for r in none} == {0.333333}
     assert M.mix(docs.where("false"), labels).count() == 0
     assert M.mix(docs.where("text is null or text = ''"), labels).count() == 2
+
+
+def test_clashing_names_and_repeated_labelled_ids(spark):
+    rows = [(k // 2, f"word{k} text some more {'Loud !!!' if k % 3 else 'calm'}", 1.5, 2, "x") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spin double, RATE int, __text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    out = M.mix(docs, labels)
+    assert out.columns == ["doc_id", "text", "spin", "__text", "n_tokens", "p_high", "p_low", "p_toxic", "rate", "copies"]
+    assert out.where("spin = 1.5 and rate >= 0 and __text = 'x'").count() == 40

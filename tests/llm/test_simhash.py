@@ -101,3 +101,10 @@ def test_long_text(spark):
     text = words(random.Random(1), 60000)
     got = S.groups(spark.createDataFrame([(1, text, "", ""), (2, text + " tail", "", "")], DOCS)).collect()
     assert {tuple(r) for r in got} == {(1, 1), (2, 1)}
+
+
+def test_clashing_names(spark):
+    rows = [(1, "some words of a text", "a", 1), (1, "some words of a text", "b", 2), (2, "other things entirely here", "c", 3), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __place string, place int")
+    out = S.deduplicate(df)
+    assert out.columns == df.columns and {(r.doc_id, r.place) for r in out.collect()} == {(1, 1), (2, 3), (None, None)}

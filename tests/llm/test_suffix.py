@@ -2,7 +2,9 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 
 from graingrid.llm import op08_suffix as S
 
@@ -57,13 +59,29 @@ def cover(out):
     return every, later
 
 
-def test_recall_against_brute_force(spark):
-    rows = corpus()
-    got = cover(S.passages(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], DOCS)).collect())
-    for found, want in zip(got, brute(rows, 50)):
-        total = sum(map(len, want.values()))
-        assert total > 5000 and sum(len(found[i] & want[i]) for i in want) >= 0.9 * total
-    assert all(found <= brute(rows, 50)[0][i] for i, found in got[0].items())
+def test_equals_brute_force(spark):
+    rows = corpus() + [(400 + k, f"{'x' * (k % 5 + 1)}, " + "boiler plate line of words that all of these share " * 6 + " ".join(f"q{k}z{j}" for j in range(60))) for k in range(40)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], DOCS)
+    want = brute(rows, 50)
+    assert all(sum(map(len, w.values())) > 5000 for w in want)
+    for params in ({}, {"hot": 3, "broadcast_bytes": 0}, {"hot": 30}):
+        got = cover(S.passages(df, **params).collect())
+        assert [{i: c for i, c in g.items() if c} for g in got] == [dict(w) for w in want], params
+
+
+def test_many_batches_keep_their_groups():
+    """Keys that go on over batches, copies and spans, against the same in one batch."""
+    rng = random.Random(4)
+    rows = corpus(5)
+    texts = [t for _, t in rows] * 3
+    rng.shuffle(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    marks = pa.Table.from_batches(S._anchors(50, 16)(iter([batch]))).sort_by("key")
+    split = pa.Table.from_batches([b for k in range(0, len(texts), 7) for b in S._anchors(50, 16)(iter([batch.slice(k, 7)]))]).sort_by("key")
+    found = [{(r["row"], r["place"]) for b in S._repeated(5)(iter(t.to_batches(n))) for r in b.to_pylist() if not r["n"]} for t, n in ((marks, 1 << 20), (split, 1 << 20), (split, 3))]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 500
+    hot = [{(r["hash"], r["n"]) for b in S._repeated(5)(iter(t.to_batches(n))) for r in b.to_pylist() if r["n"]} for t, n in ((marks, 1 << 20), (split, 1 << 20), (split, 3))]
+    assert hot[0] == hot[1] == hot[2] and hot[0]
 
 
 def test_suffix_sort_orders_and_extends():
@@ -100,3 +118,11 @@ def test_edges(spark):
     assert S.passages(spark.createDataFrame([], DOCS)).count() == 0
     apart = spark.createDataFrame([(1, p, 1, "x"), (1, "other words", 1, "x"), (2, p, 1, "x")], DOCS)
     assert {r.doc_id for r in S.passages(apart).collect()} == {1, 2}
+
+
+def test_sql_gives_the_same(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(S.ORACLE_SQL).fetchall()
+    got = S.passages(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 10

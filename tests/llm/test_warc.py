@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -73,3 +74,19 @@ def test_edges(spark):
     assert W.convert(spark.createDataFrame([], FILES)).count() == 0
     pages = spark.createDataFrame([(1, None, None), (None, "u", "h"), (2, "http://x/\n1", "")], "page_id long, url string, html string")
     assert sorted(r.target_uri for r in W.query(pages).collect()) == ["about:blank", "http://x/ 1"]
+
+
+def test_damaged_members():
+    raw = W.arc_file("f.arc", 1, [(k, f"http://a/{k}", "".join(random.Random(k).choices("abcdefghijklmnop ", k=6000))) for k in range(1, 5)])
+    at = [0] + [raw.index(f"http://a/{k} ".encode()) for k in range(1, 5)] + [len(raw)]
+    members = [gzip.compress(raw[a:b]) for a, b in zip(at, at[1:])]
+    for hurt in (10, len(members[2]) // 2, len(members[2]) - 20):
+        bad = members[2][:hurt] + bytes(255 - c for c in members[2][hurt : hurt + 12]) + members[2][hurt + 12 :]
+        out = list(W.convert_file("p", b"".join(members[:2] + [bad] + members[3:])))
+        assert [r[7] for r in out if r[3] == "ok"] == ["filedesc://f.arc", "http://a/1", "http://a/3", "http://a/4"]
+        rest = [r for r in out if r[3] != "ok"]
+        assert [(r[7], r[3]) for r in rest] in ([], [("http://a/2", "damaged")]) and (rest or hurt == 10)
+        assert all(r[-1] == w[-1] or r[3] == "damaged" and w[-1].startswith(r[-1][:1000]) for r in out for w in [next(w for w in W.convert_file("p", raw) if w[7] == r[7])])
+    cut = list(W.convert_file("p", b"".join(members)[:-30]))
+    assert [r[3] for r in cut] == ["ok"] * 4 + ["truncated"]
+    assert list(W.convert_file("p", b"\x1f\x8b\x08nothing")) == []
