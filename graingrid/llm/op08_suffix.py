@@ -47,11 +47,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import BROADCAST_BYTES, checkpointed
-from .textcore import U, Words, blocks, flat, mix, ranges
+from .textcore import U, Words, blocks, flat, mix, powers, ranges
 
-MIN_WORDS, GRAM, HOT = 50, 16, 4096
+MIN_WORDS, GRAM, HOT = 50, 16, 1 << 14
 #: Anchors, and text bytes, that a map task looks at together.
-_ANCHORS, _BYTES = 1 << 18, 8 << 20
+_ANCHORS, _BYTES = 1 << 17, 4 << 20
 SPANS = "doc_id long, start_word long, end_word long, n_words long, duplicate boolean"
 
 
@@ -248,15 +248,11 @@ def _names(schema: str) -> list[str]:
 class Text:
     """Concatenated windows with prefix polynomial hashes; suffixes end with their window."""
 
-    BASE = U(0x9E3779B97F4A7C15)
-
     def __init__(self, words: np.ndarray, stop: np.ndarray):
         self.words, self.stop = words, stop
         with np.errstate(over="ignore"):
             n = len(words)
-            self.pow = np.full(n + 1, self.BASE)
-            self.pow[0] = 1
-            self.pow = np.multiply.accumulate(self.pow)
+            self.pow = powers(n + 1)
             # sum of word * base**place; two spans are compared after scaling to a common place
             self.pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.astype(np.uint64)) * self.pow[:n])])
 
