@@ -134,8 +134,9 @@ def judgment_columns(payload: Column, metrics: list[str]) -> dict[str, Column]:
     """Wide columns (score, confidence, reason) from an array of judgments; of a dimension named twice the last counts."""
     rows = F.from_json(payload, "array<struct<dimension:string,applicable:boolean,score:double,confidence:double,reason:string>>")
     out = {}
+    named = lambda m: F.filter(rows, lambda x: x["dimension"] == m)
     for m in metrics:
-        one = F.try_element_at(F.filter(rows, lambda x, m=m: x["dimension"] == m), F.lit(-1))
+        one = F.try_element_at(named(m), F.lit(-1))
         scored = F.when(F.coalesce(one["applicable"], F.lit(True)), clamp(one["score"]))
         out |= {m: scored, f"{m}_confidence": F.when(scored.isNotNull(), one["confidence"]), f"{m}_reason": F.when(scored.isNotNull(), one["reason"])}
     return out

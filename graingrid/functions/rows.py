@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,22 +16,34 @@ POS = "_pos"
 _EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
-def with_pos(df: DataFrame, dense: bool = False) -> DataFrame:
-    """The frame with ``_pos`` in scan order; ``dense`` numbers from 0 without gaps, at the price of an extra count of each partition."""
+def with_pos(df: DataFrame, dense: bool = False, files: bool = False) -> DataFrame:
+    """The frame with ``_pos``, in scan order.
+
+    ``files`` is for frames just read from files: rows are numbered from 0 without gaps, by the files' names and their
+    place in them, however they are split over tasks. ``dense`` numbers rows of any origin without gaps, in scan order.
+    Either counts the rows of each split once more; it is part of the plan, and no row is moved or sent to the driver.
+    """
     if POS in df.columns:
         return df
-    if not dense:
+    if not dense and not files:
         return df.withColumn(POS, F.monotonically_increasing_id())
-    # the id holds the partition above bit 33: a count per partition turns it into a dense number without a global sort
-    raw = df.withColumn("__raw", F.monotonically_increasing_id())
-    sizes = raw.groupBy(F.shiftright("__raw", 33).alias("p")).count().collect()
-    before, n = {}, 0
-    for r in sorted(sizes, key=lambda r: r["p"]):
-        before[r["p"]], n = n, n + r["count"]
-    if not before:
-        return df.withColumn(POS, F.lit(0).cast("bigint"))
-    starts = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-    return raw.withColumn(POS, starts[F.shiftright("__raw", 33)] + F.col("__raw").bitwiseAND((1 << 33) - 1)).drop("__raw")
+    if files:  # a split of a file is read by one task from end to end
+        split = [F.col("_metadata.file_path").alias("__a"), F.col("_metadata.file_block_start").alias("__b")]
+    else:
+        split = [F.lit("").alias("__a"), F.shiftright(F.monotonically_increasing_id(), 33).alias("__b")]
+    raw = df.select("*", *split, F.monotonically_increasing_id().alias("__raw"))
+    # one row a split: some hundred thousand for a hundred terabytes; read as the rows themselves are, not as bare lines
+    seen = raw.where(pinned(df)) if files else raw
+    sizes = seen.groupBy("__a", "__b").agg(F.min("__raw").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__a", "__b")) - F.col("__n")
+    starts = sizes.select("__a", "__b", (before - F.col("__first")).alias("__shift"))
+    return raw.join(F.broadcast(starts), ["__a", "__b"]).select(*df.columns, (F.col("__raw") + F.col("__shift")).alias(POS))
+
+
+def pinned(df: DataFrame, but: str = "_corrupt_record") -> Column:
+    """A test that all rows pass, and that makes a reader parse them."""
+    some = next((c for c in df.columns if c != but), None)
+    return F.lit(True) if some is None else F.hash(F.col(some)) >= F.lit(-(1 << 31))
 
 
 def pystrip(c: Column) -> Column:

@@ -208,6 +208,70 @@ def trajectory_text(messages: Column, cap: int = 800, total: int = 15000, lines:
     return F.when(F.length(whole) > total, F.concat(F.substring(whole, 1, total), F.lit("\n[cut]"))).otherwise(whole)
 
 
+def _cut(t: Column, n: int, mark: str = "... [truncated]") -> Column:
+    return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit(mark))).otherwise(t)
+
+
+def judge_report(messages: Column, cap: int = 15000, total: int = 8000) -> Column:
+    """A search rollout for its judge: assistant and user turns by number, tool responses cut to 500 characters, system messages left out."""
+
+    def line(m: Column, i: Column) -> Column:
+        c = _cut(F.coalesce(m["content"], F.lit("")), cap)
+        reply = _cut(pystrip(F.replace(F.replace(c, F.lit("<tool_response>"), F.lit("")), F.lit("</tool_response>"), F.lit(""))), 500)
+        turn = lambda who: F.concat(F.lit(f"### {who} (Turn "), i.cast("string"), F.lit("):\n"), c, F.lit("\n"))
+        told = F.when(F.contains(c, F.lit("<tool_response>")), F.concat(F.lit("### Tool Response:\n"), reply, F.lit("\n"))).otherwise(turn("User"))
+        return F.when(m["role"] == "assistant", turn("Assistant")).when(m["role"] == "user", told)
+
+    whole = F.array_join(F.array_compact(F.transform(messages, line)), "\n")
+    return F.when(F.coalesce(F.size(messages), F.lit(0)) < 1, "No trajectory available").otherwise(_cut(whole, total, "\n\n... [trajectory truncated for length]"))
+
+
+def action_report(messages: Column, lines: int = 15) -> Column:
+    """A search rollout for the strategist: its searches, pages and answer, a line each, at most ``lines``."""
+
+    def steps(m: Column, i: Column) -> Column:
+        upto = F.filter(F.slice(messages, 1, i + 1), lambda x: x["role"] == "assistant")
+        number = lambda tool: F.size(F.filter(upto, lambda x: F.contains(x["content"], F.lit(tool)))).cast("string")
+        c, said = m["content"], m["role"] == "assistant"
+        query, url, answer = (_nth(c, p, 1, 1) for p in (r'"query":\s*"([^"]+)"', r'"url":\s*"([^"]+)"', r"(?s)<answer>(.*?)</answer>"))
+        return F.array_compact(F.array(
+            F.when(said & F.contains(c, F.lit("web_search")), F.concat(F.lit("[Search "), number("web_search"), F.lit("] Query: "), query)),
+            F.when(said & F.contains(c, F.lit("web_browse")), F.concat(F.lit("[Browse "), number("web_browse"), F.lit("] URL: "), F.substring(url, 1, 50), F.lit("..."))),
+            F.when(said, F.concat(F.lit("[Final Answer] "), F.substring(pystrip(answer), 1, 100))),
+            F.when((m["role"] == "user") & F.contains(c, F.lit("<tool_response>")), F.lit(_GOT)),
+        ))
+
+    all_steps = F.flatten(F.transform(messages, steps))
+    # responses count from the first step on
+    first = F.array_position(F.transform(all_steps, lambda x: x != _GOT), True).cast("int")
+    shown = F.slice(all_steps, F.greatest(first, F.lit(1)), lines)
+    some = F.when(first > 0, F.array_join(shown, "\n")).otherwise("Solver trajectory is empty or unparseable")
+    return F.when(F.coalesce(F.size(messages), F.lit(0)) < 1, "No solver trajectory available (first iteration)").otherwise(some)
+
+
+_GOT = "  \u2514\u2500 Got response..."
+
+
+def solution_report(messages: Column, solution_id: Column) -> Column:
+    """A tool-use rollout for the rubrics' judge: its tools, and its turns cut to 800, 500 and 1000 characters."""
+    said = F.filter(messages, lambda m: m["role"] == "assistant")
+    calls = F.flatten(F.transform(said, lambda m: F.split(m["content"], "<tool_call>", -1)))
+    n_calls = F.size(calls) - F.size(said)
+    names = F.array_compact(F.transform(F.flatten(F.transform(said, lambda m: all_tags(m["content"], "tool_call"))), lambda t: F.try_variant_get(F.try_parse_json(t), "$.name", "string")))
+
+    def line(m: Column, i: Column) -> Column:
+        c = F.coalesce(m["content"], F.lit(""))
+        reason = pystrip(F.substring_index(c, "<tool_call>", 1))
+        call = F.concat(F.lit("<tool_call>"), F.regexp_extract(c, r"(?s)<tool_call>(.*?</tool_call>)", 1))
+        step = F.concat(F.lit("\n[Assistant-Step"), F.floor(i / 2).cast("string"), F.lit("]\nReasoning: "), F.substring(reason, 1, 800), F.lit("...\nTool Call: "), call, F.lit("\n"))
+        block = lambda name, n: F.concat(F.lit(f"\n[{name}]\n"), F.substring(c, 1, n), F.lit("...\n"))
+        heard = F.when(i == 1, block("User Request", 800)).when(F.contains(c, F.lit("tool_response")), block("Tool Response", 500))
+        return F.when(m["role"] == "user", heard).when(m["role"] == "assistant", F.when(F.contains(c, F.lit("<tool_call>")), step).otherwise(block("Assistant-Final Answer", 1000)))
+
+    head = F.concat(F.lit("### Solution: "), solution_id, F.lit("\n\n**Tool Call Count**: "), n_calls.cast("string"), F.lit("\n**Tools Used**: "), F.array_join(names, ", "), F.lit("\n\n**Trajectory Summary**:\n"))
+    return F.concat(head, F.array_join(F.array_compact(F.transform(messages, line)), ""))
+
+
 def total_length(messages: Column) -> Column:
     return F.aggregate(messages, F.lit(0).cast("bigint"), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0)))
 

@@ -168,7 +168,7 @@ def rollouts(df: DataFrame, make: Factory, repeat: int = 2, max_steps: int = 10,
     """A row for each task and rollout: solution_id and trajectory. A failed rollout drops only itself."""
     df = with_pos(df)
     many = fan_out(df, repeat, "run", "{id}_solution_{n}.json").withColumnRenamed("request_id", "solution_id")
-    many = many.withColumn(POS, F.col(POS) * 1000 + F.col("run")).drop("run")
+    many = many.withColumn(POS, F.struct(F.col(POS).alias("task"), "run")).drop("run")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in many.schema) + f", trajectory {_MESSAGES}"
     # many small partitions: rollouts differ much in length
     return _map_rows(many, make, lambda call, row: [row | {"trajectory": tool_rollout(call, row, max_steps, max_tool_calls)}], schema, workers, roles)
@@ -179,7 +179,7 @@ def judge_rubrics(df: DataFrame, make: Factory, top_k: int = 3, workers: int = 1
     tasks = first_per_task(with_pos(df), k=top_k)
     fields = [f for f in ("task", "tools", "workflow", "restriction", "fuzzy_task", "task_background", "checked_tools") if f in df.columns]
     tasks = tasks.select(F.col("task_id").alias("id"), F.element_at("solutions", 1)[POS].alias(POS), *(F.element_at("solutions", 1)[f].alias(f) for f in fields), "solutions")
-    report = F.array_join(F.transform("solutions", lambda s: F.concat(F.lit("## "), s["solution_id"], F.lit("\n"), text.trajectory_text(s["trajectory"]))), "\n\n")
+    report = F.array_join(F.transform("solutions", lambda s: text.solution_report(s["trajectory"], s["solution_id"])), "\n\n")
     ask = "Write rubrics for the task inside <rubrics></rubrics>, say inside <alignment></alignment> keep or discard, and name the best solution inside <best></best>.\n\nTask:\n{t}\n\n{r}"
     got = _chain(tasks, make, text.fill(ask, t=F.col("task") if "task" in fields else F.lit(""), r=report), workers)
     best = text.solution_file(text.last_tag(F.col("response"), "best"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rows import POS, coalesce_columns, first_truthy, rest_as_json, truthy, with_pos
 from ..functions.text import total_length, user_parts
 from .joins import by_language
-from .select import best_trajectory, keep_first, preference_pairs, valid_length
+from .select import REWRITE_THRESHOLDS, best_trajectory, keep_first, preference_pairs, valid_length
 
 
 def message(role: str, content: Column) -> Column:
@@ -54,7 +54,7 @@ def sft(
 
 def rewrite_sft(df: DataFrame, prompts: dict[str, str], default: str | None = None, **options) -> DataFrame:
     """SFT rows of rewritten prompts: the system prompt by the row's language, scores and trace left out of the metadata."""
-    drop = [c for c in df.columns if c == "agent_trace" or c.endswith(("_score", "_fidelity", "_completion", "_clarity", "_gain", "_consistency", "_valid")) or c in ("actionability", "diversity", "difficulty")]
+    drop = [c for c in df.columns if c == "agent_trace" or c in REWRITE_THRESHOLDS or c.endswith("_score")]
     language = F.col("language") if "language" in df.columns else F.lit("")
     return sft(df.withColumn("__system", by_language(language, prompts, default)).drop("system", *drop).withColumnRenamed("__system", "system"), **options)
 

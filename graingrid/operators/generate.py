@@ -31,7 +31,10 @@ PROMPTS = {
     "rewrite": "Rewrite the prompt after the plan: a JSON object with rewritten_prompt.\n\nPlan:\n{plan}\n\nPrompt:\n{instruction}",
     "reflect": "Check the rewritten prompt: a JSON object with changed and revised_prompt.\n\nPrompt:\n{instruction}\n\nRewritten:\n{draft}",
 }
-SCENES = ("general", "coding", "math", "writing", "translation", "summary", "question", "roleplay", "analysis", "planning")
+SCENES = (
+    "general", "photographic_realism", "artistic_illustration", "design_layout", "structured_diagram", "ui_interface", "brand_commercial_ad", "narrative_panels", "cultural_heritage_art",
+    "game_art_production",
+)
 
 
 def _ask(df: DataFrame, make: Factory, words: Column, workers: int, system: Column | None = None, **options: Any) -> DataFrame:
@@ -150,7 +153,7 @@ def expand_seeds(df: DataFrame, make: Factory, rounds: int = 3, per_round: int =
             backend.close()
 
     got = checkpointed(rows.mapInArrow(run, f"{POS} long, source_seed_id string, round int, item int, topic string, instruction string"))
-    return got.withColumn("id", F.concat_ws("_", "source_seed_id", F.col("round").cast("string"), F.col("item").cast("string"))).withColumn(POS, F.col(POS) * 100000 + F.col("item")).drop("item")
+    return got.withColumn("id", F.concat_ws("_", "source_seed_id", F.col("round").cast("string"), F.col("item").cast("string"))).withColumn(POS, F.struct(F.col(POS).alias("seed"), "item")).drop("item")
 
 
 def parse_items(answer: str | None) -> list[tuple[str, str]]:

@@ -13,11 +13,11 @@ from .model import Factory, call_model
 
 INSTRUCT = ["informativeness", "helpfulness", "generalization", "correctness"]
 COT = ["reasoning_verbosity", "cognitive_difficulty", "logical_correctness"]
-IMAGE = ["prompt_alignment", "visual_quality", "aesthetics", "safety"]
-VIDEO = ["prompt_alignment", "motion_quality", "visual_quality"]
+IMAGE = ["prompt_consistency", "aesthetic_quality", "detail_richness", "artifact_absence"]
+VIDEO = ["prompt_consistency", "visual_quality", "subject_consistency"]
 TRUTHS = {"correctness", "logical_correctness"}
-REWRITE_INT = ["intent_fidelity", "task_completion", "prompt_clarity", "information_gain", "actionability", "diversity", "difficulty"]
-REWRITE_BOOL = ["language_consistency", "format_valid"]
+REWRITE_INT = ["intent_fidelity", "text_rendering_completeness", "detail_enrichment", "visual_concreteness", "compositional_coverage", "scene_alignment", "usability"]
+REWRITE_BOOL = ["language_consistency", "no_conflict"]
 
 _ASK = "Judge the answer below for {metric}. Give {scale} inside <score></score>.\n\nTask:\n{instruction}\n\nAnswer:\n{output}"
 
@@ -32,10 +32,12 @@ def _user(words: Column, df: DataFrame) -> Column:
 def judge_metrics(df: DataFrame, make: Factory, metrics: list[str] | None = None, prompts: dict[str, str] | None = None, strict: bool = False, workers: int = 10, retries: int = 3) -> DataFrame:
     """Rows (id, instruction, output, maybe images) with a score column for each metric; blank samples get nulls.
 
-    An empty list of metrics means the default ones. ``strict`` raises if a score can't be read.
+    Without a list the default metrics are judged, by an empty one none. ``strict`` raises if a score can't be read.
     """
-    metrics = list(metrics or INSTRUCT)
+    metrics = list(INSTRUCT if metrics is None else metrics)
     df = with_pos(df)
+    if not metrics:
+        return df
     ok = (F.length(F.coalesce(pystrip(F.col("instruction")), F.lit(""))) > 0) & (F.length(F.coalesce(pystrip(F.col("output")), F.lit(""))) > 0)
     asked = fan_metrics(df.where(ok), metrics)
     wanted = F.lit(None).cast("string")
@@ -95,7 +97,8 @@ def judge_candidates(df: DataFrame, make: Factory, metrics: list[str] | None = N
     metrics = metrics or ["helpfulness", "correctness"]
     df = with_pos(df)
     flat = df.select(F.col(POS).alias("__row"), F.col(key).alias("instruction"), F.posexplode("candidates").alias("k", "output")).where(F.length(pystrip(F.col("output"))) > 0)
-    judged = judge_metrics(flat.withColumn(POS, F.col("__row") * 1000000 + F.col("k")), make, metrics, workers=workers)
+    # a candidate's position is its row's and its own, which no arithmetic could hold
+    judged = judge_metrics(flat.withColumn(POS, F.struct("__row", "k")), make, metrics, workers=workers)
     scores = judged.withColumn("s", F.coalesce(mean_score(judged, metrics), F.lit(0.0))).groupBy(F.col("__row").alias(POS)).agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("__s"))
     return df.join(scores, POS, "left").withColumn("candidate_scores", F.coalesce(F.transform("__s", lambda x: x["s"]), F.array().cast("array<double>"))).drop("__s")
 
@@ -109,6 +112,19 @@ def cot_scores(df: DataFrame, alpha: float = 0.001, normalize: bool = True, patt
     return df.withColumn("candidate_scores", F.transform("candidates", score))
 
 
+def required(metrics: list[str], needed: list[str]) -> list[str]:
+    """The metrics, and after them those needed that are missing."""
+    return [*metrics, *(m for m in needed if m not in metrics)]
+
+
+def reasoned_pairs(df: DataFrame) -> DataFrame:
+    """Problem and answer of rows as the reasoning stages make them."""
+    df = with_pos(df)
+    pick = lambda *n: first_truthy(*(F.col(c).cast("string") for c in n if c in df.columns))
+    keep = [c for c in ("id", "images") if c in df.columns]
+    return df.select(POS, *keep, pick("problem", "instruction").alias("problem"), pick("response", "answer", "output").alias("answer")).where("problem is not null and answer is not null")
+
+
 def eval_input(df: DataFrame) -> DataFrame:
     """instruction and output of rows as stages make them, other columns kept."""
     pick = lambda *n: first_truthy(*(F.col(c).cast("string") for c in n if c in df.columns))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..durable import checkpointed
 from ..functions.rows import POS, all_of, pystrip, truthy, typed_number, with_pos
 
 Threshold = float | int | bool
@@ -51,38 +52,85 @@ def quality_filter(df: DataFrame, thresholds: dict[str, Threshold], require_all:
 def top_k(df: DataFrame, metrics: list[str], k: int | None = None, fraction: float | None = None) -> DataFrame:
     """The rows with the best mean score, best first, ties by position; k, or the rounded-down fraction of the scored rows.
 
-    Only the wanted rows are sorted to one place (a limit over a sort), never the whole table.
+    The k rows are a limit over a sort, of which each task keeps k rows; for a fraction the last row wanted is found
+    first, and only what isn't after it is sorted, over all tasks.
     """
     df = with_pos(df).withColumn("_avg", mean_score(df, metrics)).where("_avg is not null")
-    if k is None:
-        if fraction is None:
-            return df.orderBy(F.desc("_avg"), POS)
-        k = math.floor(df.count() * fraction)
-    return df.orderBy(F.desc("_avg"), POS).limit(k)
+    if k is not None:
+        return df.orderBy(F.desc("_avg"), POS).limit(k)
+    if fraction is not None:
+        df = first_of_each(df.withColumn("__all", F.lit(0)), "__all", [(-F.col("_avg")), F.col(POS)], lambda n: F.floor(n * F.lit(fraction))).drop("__all")
+    return df.orderBy(F.desc("_avg"), POS)
+
+
+def cuts(df: DataFrame, group: str, order: list[Column], quota: Callable[[Column], Column]) -> DataFrame:
+    """Of each group its quota (of its number of rows), and the quota-th row's order values, ``__cut``; null if there are fewer.
+
+    ``order`` must tell all rows of a group apart. Only group and order are sorted, by range over all tasks, so a group may
+    be spread over many of them; a row's number follows from the numbers of rows of its group in each.
+    """
+    names = [f"__o{k}" for k in range(len(order))]
+    by = ["__g", *names]
+    narrow = df.select(F.col(group).alias("__g"), *(o.alias(n) for o, n in zip(order, names)))
+    ranked = checkpointed(narrow.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    here = F.shiftright("__at", 33).alias("__p")
+    # a row for each group and task
+    parts = ranked.groupBy("__g", here).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    w = Window.partitionBy("__g")
+    parts = parts.withColumn("__before", F.sum("__n").over(w.orderBy("__p")) - F.col("__n")).withColumn("__quota", quota(F.sum("__n").over(w)).cast("bigint"))
+    place = F.col("__first") + F.col("__quota") - F.col("__before") - 1
+    hit = parts.where("__quota > __before and __quota <= __before + __n").select(F.col("__g").alias("__h"), place.alias("__at"))
+    cut = ranked.join(F.broadcast(hit), "__at").select("__g", F.struct(*names).alias("__cut"))
+    quotas = parts.groupBy("__g").agg(F.max("__quota").alias("__quota"))
+    return quotas.join(cut, "__g", "left")
+
+
+def first_of_each(df: DataFrame, group: str, order: list[Column], quota: Callable[[Column], Column]) -> DataFrame:
+    """The first rows of each group in the order, as many as the quota makes of its number of rows. No row is moved: each is held against its group's last."""
+    found = cuts(df, group, order, quota)
+    key = F.struct(*(o.alias(f"__o{k}") for k, o in enumerate(order)))
+    rows = df.join(found, df[group] == F.col("__g"))
+    return rows.where((F.col("__quota") > 0) & (F.col("__cut").isNull() | (key <= F.col("__cut")))).drop("__g", "__cut", "__quota")
 
 
 def per_group_top(df: DataFrame, group: str, metrics: list[str], k: int | None = None, fraction: float | None = None, order: str | None = None) -> DataFrame:
-    """Each group's best rows: k, or the rounded-up fraction of its scored rows but one at least. Null and empty groups are 'unknown'."""
+    """Each group's best rows: k, or the rounded-up fraction of its scored rows but one at least. Null and empty groups are 'unknown'.
+
+    ``order`` tells rows of equal score apart, and must differ between all of a group.
+    """
     order = order or POS
     df = with_pos(df) if order == POS else df
     g = F.coalesce(F.nullif(F.col(group).cast("string"), F.lit("")), F.lit("unknown"))
     df = df.withColumn("_group", g).withColumn("_avg", mean_score(df, metrics)).where("_avg is not null")
-    w = Window.partitionBy("_group")
-    rank = F.row_number().over(w.orderBy(F.desc("_avg"), order))
     if k is not None:
-        quota: Column = F.lit(k)
-    elif fraction is not None:
-        quota = F.greatest(F.lit(1), F.ceil(F.count("*").over(w) * F.lit(fraction)))
-    else:
-        quota = F.count("*").over(w)
-    return df.withColumn("_rank", rank).withColumn("_quota", quota).where("_rank <= _quota").drop("_group", "_quota")
+        # up to a thousand, the engine cuts each task's share of a group to k rows before they are shuffled
+        rank = F.row_number().over(Window.partitionBy("_group").orderBy(F.desc("_avg"), order))
+        return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_group", "_rank")
+    if fraction is not None:
+        df = first_of_each(df, "_group", [-F.col("_avg"), F.col(order)], lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(fraction))))
+    return df.drop("_group")
 
 
 REWRITE_THRESHOLDS: dict[str, Threshold] = {
-    "intent_fidelity": 7, "task_completion": 7, "prompt_clarity": 7, "information_gain": 6, "actionability": 6, "diversity": 5, "difficulty": 5, "language_consistency": True, "format_valid": True,
+    "intent_fidelity": 7, "text_rendering_completeness": 7, "usability": 7, "detail_enrichment": 6, "visual_concreteness": 6, "compositional_coverage": 5, "scene_alignment": 5,
+    "language_consistency": True, "no_conflict": True,
 }
 
 
+def rewrite_filter(df: DataFrame, thresholds: dict[str, Threshold] | None = None, k: int | None = None, fraction: float | None = None, per_scene: bool = True, group: str = "scene") -> DataFrame:
+    """Rewritten prompts that pass all gates (the default ones if none are given); of these, if k or a fraction is given, the best of each scene, or of all.
+
+    Scores are the integer metrics' means. Rows without any metric pass a later ranking only if none is asked for.
+    """
+    df = quality_filter(df, REWRITE_THRESHOLDS if thresholds is None else thresholds)
+    if k is None and fraction is None:
+        return df
+    metrics = [m for m, t in REWRITE_THRESHOLDS.items() if not isinstance(t, bool)]
+    df = with_pos(df)
+    best = per_group_top(df if group in df.columns else df.withColumn(group, F.lit(None).cast("string")), group, metrics, k, fraction) if per_scene else top_k(df, metrics, k, fraction)
+    return best.select(df.columns)
+
+
 def mixer_bin(cd: Column, edges: list[float]) -> Column:
     """The number of the difficulty bin: edges at or below the value, less one; null outside, or for what is no number.
 
@@ -144,10 +192,15 @@ def balance(df: DataFrame, distribution: dict[str, float], category: str = "cate
     size = F.broadcast(category_quotas(counts, distribution, df.count() if total is None else total))
     size = size.withColumnsRenamed({"category": "__category", "n": "__n"})
     rows = df.join(size, df[category] == F.col("__category"))
-    turn = F.row_number().over(Window.partitionBy(category).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key))
-    copies = F.floor(F.col("quota") / F.col("__n")) + (turn <= F.col("quota") % F.col("__n")).cast("bigint")
+    draw = [F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key)]
+    # rows up to the (quota modulo n)-th of their category get a copy more than the others
+    more = cuts(rows.withColumn("__draw", F.struct("__category", (F.col("quota") % F.col("__n")).alias("more"))), "__draw", draw, lambda _: F.col("__g.more"))
+    more = more.select(F.col("__g.__category").alias("__h"), F.col("__cut"), F.col("__quota").alias("__more"))
+    rows = rows.join(F.broadcast(more), rows["__category"] == F.col("__h"))
+    extra = F.when(F.col("__more") > 0, F.coalesce(F.struct(*(o.alias(f"__o{k}") for k, o in enumerate(draw))) <= F.col("__cut"), F.lit(True))).otherwise(F.lit(False))
+    copies = F.floor(F.col("quota") / F.col("__n")) + extra.cast("bigint")
     rows = rows.withColumn("__copies", copies).where("__copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).drop("__category", "__n", "quota", "__copies")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).drop("__category", "__n", "quota", "__copies", "__h", "__cut", "__more")
 
 
 def in_context_examples(requests: DataFrame, pool: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:

@@ -52,13 +52,13 @@ def final_labels(major: DataFrame, debated: DataFrame) -> DataFrame:
 def overall(labels: DataFrame, excludes: list[str] | None = None, veto: str | None = "Safety Compliance") -> DataFrame:
     """Each case's mean of its scores (0-4 as 0-100), over dimensions whose top group isn't excluded; a 0 in the veto dimension makes it 0.
 
-    With counts of scored, not applicable and unscored dimensions. For edited images give no excludes and no veto.
+    With counts of dimensions scored (and not excluded), not applicable and unscored. For edited images give no excludes and no veto.
     """
     counted = ~F.coalesce(F.col("l1").isin(excludes or []), F.lit(False))
     points = F.when(F.col("score").isNotNull(), F.col("score") * 25.0)
     out = labels.groupBy("case_id").agg(
         F.avg(F.when(counted, points)).alias("mean"),
-        F.count_if(F.col("score").isNotNull()).alias("n_scored"),
+        F.count_if(counted & F.col("score").isNotNull()).alias("n_scored"),
         F.count_if(F.col("score").isNull() & ~F.coalesce("applicable", F.lit(True))).alias("n_na"),
         F.count_if(F.col("score").isNull() & F.coalesce("applicable", F.lit(True))).alias("n_unscored"),
         F.coalesce(F.bool_or((F.col("dimension") == F.lit(veto)) & (F.col("score") == 0)), F.lit(False)).alias("vetoed"),
@@ -90,7 +90,11 @@ def training_bins(labels: DataFrame, threshold: float = 0.85) -> DataFrame:
 def artifacts(votes: DataFrame, spread: DataFrame, labels: DataFrame, cases: DataFrame, folder: str) -> None:
     """The evaluation's tables as JSON lines below a folder; failed cases only in final labels."""
     good = cases.where("error is null").select("case_id")
-    for name, df in {"teacher_outputs": votes, "conflict_report": spread, "debate_results": labels.where("debated"), "final_judgments": labels}.items():
+    per_case = good.join(spread.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "dimension"))), lambda x: x["dimension"]).alias("conflict_dims")), "case_id", "left")
+    per_case = per_case.withColumn("conflict_dims", F.coalesce("conflict_dims", F.array().cast("array<string>")))
+    talks = labels.where("debated").groupBy("case_id").agg(F.count("*").alias("n_debated"), F.sort_array(F.collect_list(F.struct("dimension", "score", "steps"))).alias("dimensions"))
+    debated = per_case.select("case_id", F.size("conflict_dims").alias("n_conflict_dims")).join(talks, "case_id", "left").withColumn("n_debated", F.coalesce("n_debated", F.lit(0)))
+    for name, df in {"teacher_outputs": votes, "conflict_report": per_case, "debate_results": debated, "final_judgments": labels}.items():
         df.join(good, "case_id", "left_semi").write.mode("overwrite").json(f"{folder}/{name}")
     cases.write.mode("overwrite").json(f"{folder}/final_labels")
     summary(cases).write.mode("overwrite").json(f"{folder}/summary")

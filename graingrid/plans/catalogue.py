@@ -6,8 +6,6 @@ operator. Results are flat.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,24 +13,11 @@ from ..functions import jsonx, text
 from ..functions.rows import POS
 from ..operators import aggregate, builders, joins, select, votes
 from ..sources import jsonl, loaders, media
+from .registry import QUERIES, SQL, Query
+from .registry import query as _query
+from .registry import table as _t
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _query(sql: str | None = None):
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
+__all__ = ["QUERIES", "SQL"]
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,16 +53,16 @@ def quality_top_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query(
-    f"WITH s AS (SELECT *, {_MEAN} AS avg_score FROM ({_SCORED})), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY avg_score DESC, id) AS rank, count(*) OVER (PARTITION BY lang) AS n FROM s)"
-    " SELECT id, lang, avg_score, rank::INT AS rank FROM r WHERE rank <= greatest(1, ceil(n * 0.3))"
+    f"WITH s AS (SELECT *, {_MEAN} AS avg_score FROM ({_SCORED})), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY avg_score DESC, id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM s)"
+    " SELECT id, lang, avg_score FROM r WHERE k <= greatest(1, ceil(n * 0.3))"
 )
 def per_group_top_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return select.per_group_top(_scored(spark, sf), "lang", _METRICS, fraction=0.3).select("id", "lang", F.col("_avg").alias("avg_score"), F.col("_rank").alias("rank"))
+    return select.per_group_top(_scored(spark, sf), "lang", _METRICS, fraction=0.3).select("id", "lang", F.col("_avg").alias("avg_score"))
 
 
-@_query(f"WITH s AS (SELECT *, {_MEAN} AS avg_score FROM ({_SCORED})), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY avg_score DESC, id) AS rank FROM s) SELECT id, source, rank::INT AS rank FROM r WHERE rank <= 5")
+@_query(f"WITH s AS (SELECT *, {_MEAN} AS avg_score FROM ({_SCORED})), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY avg_score DESC, id) AS rank FROM s) SELECT id, source, avg_score FROM r WHERE rank <= 5")
 def per_group_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    return select.per_group_top(_scored(spark, sf), "source", _METRICS, k=5).select("id", "source", F.col("_rank").alias("rank"))
+    return select.per_group_top(_scored(spark, sf), "source", _METRICS, k=5).select("id", "source", F.col("_avg").alias("avg_score"))
 
 
 @_query(f"SELECT avg(quality) AS quality, avg(size) AS size, avg(clean::INT) AS clean FROM ({_SCORED})")
@@ -301,7 +286,7 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query(
-    f"WITH {_MAJOR} SELECT case_id, count(score) AS n_scored, count(*) FILTER (WHERE score IS NULL) AS n_na, coalesce(bool_or(dimension = 'd2' AND score = 0), false) AS vetoed, CASE WHEN coalesce(bool_or(dimension = 'd2' AND score = 0), false) THEN 0.0 ELSE avg(score * 25.0) FILTER (WHERE dimension <> 'd1') END AS overall FROM m GROUP BY case_id"
+    f"WITH {_MAJOR} SELECT case_id, count(score) FILTER (WHERE dimension <> 'd1') AS n_scored, count(*) FILTER (WHERE score IS NULL) AS n_na, coalesce(bool_or(dimension = 'd2' AND score = 0), false) AS vetoed, CASE WHEN coalesce(bool_or(dimension = 'd2' AND score = 0), false) THEN 0.0 ELSE avg(score * 25.0) FILTER (WHERE dimension <> 'd1') END AS overall FROM m GROUP BY case_id"
 )
 def overall_score(spark: SparkSession, sf: str) -> DataFrame:
     return votes.overall(_labels(spark, sf), ["Total"], "d2").select("case_id", "n_scored", "n_na", "vetoed", "overall")
@@ -492,3 +477,6 @@ def seed_resume(spark: SparkSession, sf: str) -> DataFrame:
     return left.withColumn("seed", joins.seed_of(F.col("id")))
 
 
+
+
+from . import catalogue_functions, catalogue_models  # noqa: E402, F401

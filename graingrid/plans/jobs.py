@@ -12,11 +12,14 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rows import POS, truthy, with_pos
-from ..operators import agents, builders, generate, judges, select
+from ..functions import text
+from ..functions.rows import POS, first_truthy, pystrip, truthy, with_pos
+from ..operators import agents, builders, generate, imageeval, judges, select, video
 from ..operators.builders import message
 from ..operators.model import Factory, call_model
+from ..operators.votes import training_bins
 from ..sources import loaders
+from . import stages as pipelines
 
 JOBS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -31,9 +34,11 @@ def _job(*names: str, **fixed: Any):
 
 
 def run(job: str, df: DataFrame, make: Factory | None = None, **options: Any) -> DataFrame:
-    """The job's result rows."""
+    """The job's result rows. A pipeline's job takes its ``stages``, too, as :func:`stages.run` does; without them it has a fixed order."""
     if job not in JOBS:
         raise ValueError(f"job {job} is none of {', '.join(sorted(JOBS))}")
+    if "stages" in options:
+        return pipelines.run(job, df, make, options.pop("stages"), **options)
     return JOBS[job](df, make, **options)
 
 
@@ -83,21 +88,35 @@ def extraction(df: DataFrame, make: Factory | None = None, key: str = "text", **
 
 
 @_job("augmented_instruct_distill")
-def augmented(df: DataFrame, make: Factory, outputs: int = 10, k: int = 3, seed: int = 0, workers: int = 1, **sft: Any) -> DataFrame:
-    new = builders.synthesis_output(generate.expand(loaders.strings(df), make, outputs, k, seed, workers))
+def augmented(df: DataFrame, make: Factory, outputs: int = 10, k: int = 3, seed: int = 0, refine: bool = False, distribution: dict[str, float] | None = None, workers: int = 1, **sft: Any) -> DataFrame:
+    new = generate.expand(loaders.strings(df), make, outputs, k, seed, workers)
+    new = builders.synthesis_output(generate.refine(new, make, workers) if refine else new)
+    if distribution:
+        new = select.balance(judges.classify(loaders.seeds(new), make, list(distribution), workers), distribution)
     return builders.sft(generate.generate(new, make, workers=workers), **sft)
 
 
 @_job("balanced_instruct_distill")
-def balanced(df: DataFrame, make: Factory, distribution: dict[str, float], seed: int = 42, workers: int = 1, **sft: Any) -> DataFrame:
-    sorted_in = judges.classify(loaders.seeds(df), make, list(distribution), workers)
+def balanced(df: DataFrame, make: Factory, distribution: dict[str, float], seed: int = 42, expand: dict | None = None, workers: int = 1, **sft: Any) -> DataFrame:
+    rows = loaders.seeds(df) if expand is None else loaders.seeds(builders.synthesis_output(generate.expand(loaders.strings(df), make, workers=workers, **expand)))
+    sorted_in = judges.classify(rows, make, list(distribution), workers)
     return builders.sft(generate.generate(select.balance(sorted_in, distribution, seed=seed), make, workers=workers), **sft)
 
 
 @_job("advanced_instruct_distill")
 @_job("advanced_mm_distill", multimodal=True)
-def advanced(df: DataFrame, make: Factory, multimodal: bool = False, metrics: list[str] | None = None, thresholds: dict | None = None, keep_top_k: int | None = None, keep_top_ratio: float | None = None, workers: int = 1, **sft: Any) -> DataFrame:
+def advanced(
+    df: DataFrame, make: Factory, multimodal: bool = False, expand: dict | None = None, refine: bool = False, distribution: dict[str, float] | None = None, metrics: list[str] | None = None, thresholds: dict | None = None,
+    keep_top_k: int | None = None, keep_top_ratio: float | None = None, workers: int = 1, **sft: Any,
+) -> DataFrame:
+    """Instructions, maybe expanded, refined and balanced, answered, judged, filtered and built."""
     rows = loaders.multimodal_inputs(df) if multimodal else loaders.seeds(df)
+    if expand is not None:
+        rows = loaders.seeds(builders.synthesis_output(generate.expand(loaders.strings(rows), make, workers=workers, **expand)))
+    if refine:
+        rows = loaders.seeds(builders.synthesis_output(generate.refine(loaders.strings(rows), make, workers)))
+    if distribution:
+        rows = select.balance(judges.classify(rows, make, list(distribution), workers), distribution)
     metrics = metrics or judges.INSTRUCT
     got = _judged(generate.generate(rows, make, workers=workers), make, metrics, workers)
     return builders.sft(_kept(got, thresholds, metrics, keep_top_k, keep_top_ratio), **sft)
@@ -135,8 +154,30 @@ def evaluation(df: DataFrame, make: Factory, metrics: list[str], multimodal: boo
     return judges.judge_metrics(loaders.eval_samples(df, multimodal=multimodal), make, metrics, **options)
 
 
+@_job("t2v_eval")
+def video_eval(df: DataFrame, make: Factory | None = None, checkers: list[video.Checker] | None = None, metrics: list[str] | None = None, **call: Any) -> DataFrame:
+    """Videos through a chain of checkers, by default one judge of frames."""
+    return video.check_videos(df, [video.frame_checker(make, metrics, **call)] if checkers is None else checkers)
+
+
+def _image_eval(edited: bool, many: bool) -> Callable[..., DataFrame]:
+    def run(df: DataFrame, make: Factory | None = None, pool: DataFrame | None = None, teachers: dict[str, Factory] | None = None, result: str = "cases", **options: Any) -> DataFrame:
+        """The table ``result`` of an evaluation: cases, labels, votes or conflicts; ``bins`` for labels as training rows. ``folder`` keeps all of them."""
+        teachers = teachers or ({"teacher": make} if make else {})
+        if pool is None or not teachers or (many != (len(teachers) > 1)):
+            raise ValueError("an evaluation takes a pool of dimensions and " + ("several teachers" if many else "one teacher"))
+        bound = options.pop("export_threshold", 0.85)
+        got = imageeval.evaluate(df, pool, teachers, edited=edited, **options)
+        return training_bins(got["labels"], bound) if result == "bins" else got[result]
+
+    return run
+
+
+for _name, _edited, _many in (("t2i_single_model_eval", False, False), ("t2i_multi_model_eval", False, True), ("ti2i_single_model_eval", True, False), ("ti2i_multi_model_eval", True, True)):
+    _job(_name)(_image_eval(_edited, _many))
+
+
 @_job("t2i_eval", metrics=judges.IMAGE, urls="image_urls")
-@_job("t2v_eval", metrics=judges.VIDEO, urls="video_urls")
 def media_eval(df: DataFrame, make: Factory, metrics: list[str], urls: str, **options: Any) -> DataFrame:
     """Judged by prompt and first URL; other columns stay."""
     rows = with_pos(df).where(truthy(F.col("prompt")) & (F.size(urls) > 0))
@@ -150,11 +191,8 @@ def rewrite_eval(df: DataFrame, make: Factory, **options: Any) -> DataFrame:
 
 
 @_job("pe_rewrite_filter")
-def rewrite_filter(df: DataFrame, make: Factory | None = None, thresholds: dict | None = None, group: str = "scene", k: int | None = None, fraction: float | None = 0.3, metrics: list[str] | None = None) -> DataFrame:
-    df = with_pos(df)
-    if thresholds:
-        df = select.quality_filter(df, thresholds)
-    return select.per_group_top(df, group, metrics or [m for m in judges.REWRITE_INT + judges.REWRITE_BOOL if m in df.columns], k, fraction)
+def rewrite_filter(df: DataFrame, make: Factory | None = None, **options: Any) -> DataFrame:
+    return select.rewrite_filter(df, **options)
 
 
 @_job("pe_rewrite_build_sft")
@@ -163,10 +201,10 @@ def rewrite_build(df: DataFrame, make: Factory | None = None, prompts: dict[str,
 
 
 @_job("pe_rewrite_distill")
-def rewrite_distill(df: DataFrame, make: Factory, rounds: int = 3, thresholds: dict | None = None, fraction: float = 0.3, prompts: dict[str, str] | None = None, workers: int = 1) -> DataFrame:
+def rewrite_distill(df: DataFrame, make: Factory, rounds: int = 3, thresholds: dict | None = None, k: int | None = None, fraction: float | None = None, per_scene: bool = True, prompts: dict[str, str] | None = None, workers: int = 1) -> DataFrame:
     grown = generate.expand_seeds(loaders.seeds(df), make, rounds)
     judged = judges.judge_rewrites(generate.rewrite(grown, make, workers=workers), make, workers=workers)
-    return builders.rewrite_sft(rewrite_filter(judged, None, thresholds, fraction=fraction), prompts or {})
+    return builders.rewrite_sft(select.rewrite_filter(judged, thresholds, k, fraction, per_scene), prompts or {})
 
 
 @_job("dpo_data_build")
@@ -192,16 +230,51 @@ def _media_seeds(df: DataFrame, kind: str) -> DataFrame:
     return loaders.video_seeds(df) if kind == "video" else loaders.image_seeds(df)
 
 
+_EXTRACT = {
+    False: "List what the video of this prompt shows, and how it moves: a JSON object inside <answer></answer>, with aspect_ratio where the prompt implies one.\n\n{prompt}",
+    True: "List what the given first frame shows (first_frame_inventory), then how the video goes on from it after the prompt; the frame counts where both differ. A JSON object inside <answer></answer>.\n\n{prompt}",
+}
+_COMPOSE = "Write the video's caption by this schema, inside <answer></answer>.\n\nSchema: {schema}\nDraft: {draft}\nPrompt: {prompt}"
+
+
+def video_prompts(df: DataFrame, make: Factory, compose: Factory | None = None, schema: str = "subject, scene, motion, camera, style", workers: int = 1) -> DataFrame:
+    """Rows with raw_prompt, draft and optimized_prompt by two calls: what the video shows (given the first frame, if there is one), then a caption of it.
+
+    A row without a draft or caption is dropped. ``resolution`` auto takes its ratio from the draft, unless the row has one or a
+    first frame.
+    """
+    df = with_pos(df)
+    frame = truthy(F.col("first_frame_image")) if "first_frame_image" in df.columns else F.lit(False)
+    words = F.when(frame, text.fill(_EXTRACT[True], prompt=F.col("prompt"))).otherwise(text.fill(_EXTRACT[False], prompt=F.col("prompt")))
+    seen = F.when(frame, F.to_json(text.user_parts(words, F.array("first_frame_image")))).otherwise(words) if "first_frame_image" in df.columns else words
+    tidy = lambda got: got.drop("response", "urls", "prompt_tokens", "completion_tokens", "model", "error")
+    tagged = first_truthy(text.first_tag(F.col("response"), "answer"), pystrip(F.col("response")))
+    got = call_model(df.where(truthy(F.col("prompt"))), make, F.array(message("user", seen)), F.col("id"), options={"max_tokens": 1024}, workers=workers)
+    got = tidy(got.withColumn("draft", tagged)).where("draft is not null").withColumnRenamed("prompt", "raw_prompt")
+    if "resolution" in got.columns:
+        auto = F.coalesce((F.lower("resolution") == "auto") & ~frame, F.lit(False))
+        have = F.col("ratio") if "ratio" in got.columns else F.lit(None).cast("string")
+        got = got.withColumn("ratio", F.when(auto, F.coalesce(F.nullif(have, F.lit("")), text.aspect_ratio(F.col("draft")))).otherwise(have))
+    words = text.fill(_COMPOSE, schema=F.lit(schema), draft=F.col("draft"), prompt=F.col("raw_prompt"))
+    got = call_model(got, compose or make, F.array(message("user", words)), F.col("id"), options={"max_tokens": 1024}, workers=workers)
+    return tidy(got.withColumn("optimized_prompt", tagged)).where("optimized_prompt is not null").withColumn("prompt", F.col("optimized_prompt"))
+
+
 @_job("prompt_optimize", kind="image")
 @_job("t2v_prompt_optimize", kind="video")
-def media_prompts(df: DataFrame, make: Factory, kind: str, workers: int = 1) -> DataFrame:
-    return _optimized(_media_seeds(df, kind), make, workers)
+def media_prompts(df: DataFrame, make: Factory, kind: str, workers: int = 1, **options: Any) -> DataFrame:
+    return video_prompts(_media_seeds(df, kind), make, workers=workers, **options) if kind == "video" else _optimized(_media_seeds(df, kind), make, workers)
 
 
 @_job("t2i_generation", kind="image")
 @_job("t2v_generation", kind="video")
-def media_generation(df: DataFrame, make: Factory, kind: str, workers: int = 1, **options: Any) -> DataFrame:
-    return _media(_media_seeds(df, kind), make, kind, workers, **options)
+def media_generation(df: DataFrame, make: Factory, kind: str, workers: int = 1, frames: str = "off", min_edge: int = 256, max_aspect: float = 3.0, **options: Any) -> DataFrame:
+    """Rows with URLs of what was made; ``frames`` says what becomes of videos' first frames that are out of bounds."""
+    rows = _media_seeds(df, kind)
+    extra = [c for c in ("raw_prompt", "draft", "optimized_prompt") if c in df.columns and c not in rows.columns]
+    if extra:
+        rows = rows.join(with_pos(df, dense=True).select(POS, *extra), POS, "left")
+    return _media(video.check_first_frames(rows, frames, min_edge, max_aspect) if kind == "video" else rows, make, kind, workers, **options)
 
 
 @_job("t2i_distill", kind="image")
@@ -214,7 +287,7 @@ def media_distill(df: DataFrame, make: Factory, kind: str, workers: int = 1, min
 @_job("advanced_t2v_distill", kind="video", metrics=judges.VIDEO)
 def advanced_media(df: DataFrame, make: Factory, kind: str, metrics: list[str], media: Factory | None = None, thresholds: dict | None = None, keep_top_k: int | None = None, keep_top_ratio: float | None = None, workers: int = 1) -> DataFrame:
     """``make`` optimises and judges, ``media`` draws."""
-    made = _media(_optimized(_media_seeds(df, kind), make, workers), media or make, kind, workers)
+    made = _media(media_prompts(df, make, kind, workers), media or make, kind, workers)
     judged = media_eval(made, make, metrics, f"{kind}_urls", workers=workers)
     return builders.media_sft(_kept(judged, thresholds, metrics, keep_top_k, keep_top_ratio), f"{kind}_urls", kind=kind, scores=metrics)
 

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 _CJK_GAP = re.compile(r"(?<=[㐀-鿿]) (?=[㐀-鿿])")
 
 
-def catalog(spark: SparkSession, entries: list[dict[str, Any]]) -> DataFrame:
-    """name, family, kind, size, url, zh and en notes, sorted by family and name."""
+def catalog(spark: SparkSession, entries: list[dict[str, Any]], kind: str | None = None, family: str | None = None) -> DataFrame:
+    """name, family, kind (model or dataset), size, url, zh and en notes of those of a kind or family, sorted by family and name."""
     keys = ("family", "name", "kind", "size", "url", "note_en", "note_zh")
-    rows = [tuple(None if e.get(k) is None else str(e[k]) for k in keys) for e in entries if e.get("name")]
+    wanted = [e for e in entries if e.get("name") and kind in (None, e.get("kind")) and family in (None, e.get("family"))]
+    rows = [tuple(None if e.get(k) is None else str(e[k]) for k in keys) for e in wanted]
     return spark.createDataFrame(rows, ", ".join(f"{k} string" for k in keys)).orderBy("family", "name")
 
 

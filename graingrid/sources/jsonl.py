@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rows import POS, with_pos
+from ..functions.rows import POS, pinned, with_pos
 
 _BAD = "_corrupt_record"
 
@@ -24,17 +24,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, strict
     reader = spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE")
     if schema:
         if not strict:
-            reader = reader.option("columnNameOfCorruptRecord", _BAD)
-            return with_pos(reader.schema(f"{schema}, {_BAD} string").json(path)).where(F.col(_BAD).isNull()).drop(_BAD)
-        return with_pos(reader.schema(schema).json(path))
-    df = with_pos(reader.option("columnNameOfCorruptRecord", _BAD).json(path))
+            rows = reader.option("columnNameOfCorruptRecord", _BAD).schema(f"{schema}, {_BAD} string").json(path)
+            return with_pos(rows, files=True).where(F.col(_BAD).isNull() & pinned(rows)).drop(_BAD)
+        return with_pos(reader.schema(schema).json(path), files=True)
+    df = with_pos(reader.option("columnNameOfCorruptRecord", _BAD).json(path), files=True)
     if _BAD not in df.columns:
         return df
     if df.columns == [_BAD, POS]:
         return df.where(F.lit(False)).drop(_BAD)
     kept = [c for c in df.columns if c != _BAD]
     # a frame that is only asked for its corrupt column can't be read; the others pin the parse
-    return df.where(F.col(_BAD).isNull()).select(kept)
+    return df.where(F.col(_BAD).isNull() & pinned(df.select(kept).drop(POS))).select(kept)
 
 
 def require_rows(df: DataFrame, what: str = "input") -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pathlib import Path
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from ..functions.text import is_image_reference, mime_type
 
@@ -11,20 +16,24 @@ from ..functions.text import is_image_reference, mime_type
 def data_urls(df: DataFrame, path_col: str, out: str, max_bytes: int | None = None) -> DataFrame:
     """The frame with base64 data URLs of the files in ``path_col``; URLs and data URLs stay; too large or missing files give null.
 
-    Files are read by the executors, and joined by path.
+    Each file is read by the task that has its row, from a folder that all executors see.
     """
-    spark: SparkSession = df.sparkSession
     c = F.col(path_col)
-    paths = [r[0] for r in df.where(c.isNotNull() & ~is_image_reference(c)).select(c).distinct().collect()]
-    if not paths:
-        return df.withColumn(out, F.when(is_image_reference(c), c))
-    files = spark.read.format("binaryFile").load(paths)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
-    local = F.regexp_replace("path", "^file:/+", "/")
-    files = files.select(local.alias("__path"), F.concat(F.lit("data:"), mime_type(local), F.lit(";base64,"), F.base64("content")).alias("__url"))
-    joined = df.join(files, c == F.col("__path"), "left")
-    return joined.withColumn(out, F.when(is_image_reference(c), c).otherwise(F.col("__url"))).drop("__path", "__url")
+    limit = F.lit(max_bytes).cast("long")
+    inline = F.concat(F.lit("data:"), mime_type(c), F.lit(";base64,"), F.base64(_content(c, limit)))
+    return df.withColumn(out, F.when(is_image_reference(c), c).otherwise(inline))
+
+
+@pandas_udf(BinaryType())
+def _content(paths: pd.Series, limit: pd.Series) -> pd.Series:
+    def one(path: str | None, most: float) -> bytes | None:
+        try:
+            p = Path(path.removeprefix("file://")) if path else None
+            return p.read_bytes() if p and p.is_file() and (pd.isna(most) or p.stat().st_size <= most) else None
+        except (OSError, ValueError):
+            return None
+
+    return pd.Series([one(p, m) for p, m in zip(paths, limit)], dtype=object)
 
 
 def frame_indices(total: Column, count: int = 8) -> Column:

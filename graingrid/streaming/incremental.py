@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import finished
+from ..functions.rows import POS, with_pos
+from ..operators.joins import finished, resume_key, split_done
+from ..sources.jsonl import read_jsonl, write_jsonl
 
 
 def process_new_files(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], files_per_batch: int = 100) -> int:
@@ -30,6 +33,36 @@ def process_new_files(spark: SparkSession, source: str, schema: str, sink: str,
     return len(done)
 
 
+def resumed(df: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, kind: str) -> DataFrame:
+    """Rows of a stage whose output, JSON lines at ``path``, may be there in part from a run that was cut off.
+
+    Rows that it has complete are taken from it, the last of each key; only the others are worked on, and their results
+    appended at once, so that no finished call is made again. Rows are known by id, else by prompt and first frame.
+    """
+    spark = df.sparkSession
+    frame = lambda d: F.col("first_frame_image") if "first_frame_image" in d.columns else None
+    name = lambda d: F.coalesce(*(F.col(c) for c in ("raw_prompt", "original_prompt", "prompt") if c in d.columns), F.lit(""))
+    keyed = lambda d: d.withColumn("_key", resume_key(F.col("id") if "id" in d.columns else F.lit(None), name(d), frame(d)))
+    rows = keyed(with_pos(df, dense=True))
+
+    def earlier() -> DataFrame | None:
+        try:
+            old = read_jsonl(spark, path)
+        except AnalysisException:
+            return None
+        return None if old.columns == [POS] or old.isEmpty() else finished(keyed(old), kind)
+
+    old = earlier()
+    left = rows if old is None else split_done(rows, old)[1]
+    if not left.isEmpty():
+        write_jsonl(work(left.drop("_key")), path, mode="append")
+    all_of_it = earlier()
+    if all_of_it is None:
+        return work(left.drop("_key").where("false"))
+    order = rows.select("_key", F.col(POS).alias("__at"))
+    return all_of_it.drop(POS).join(order, "_key").drop("_key").withColumnRenamed("__at", POS)
+
+
 def completed(spark: SparkSession, sink: str, kind: str, key: str = "_key") -> DataFrame:
     """The last complete row of each key of all batches written so far."""
     rows = spark.read.parquet(sink)

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from graingrid.operators import judges
 from graingrid.operators.model import FakeBackend, FakeMediaBackend
 from graingrid.plans import jobs
 from graingrid.streaming import incremental
@@ -23,13 +24,13 @@ def clever():
         if "JSON array of objects" in u:
             return '[{"topic": "t", "prompt": "ask t"}]'
         if "Plan a rewrite" in u:
-            return '{"scene": "coding", "language": "en"}'
+            return '{"scene": "ui_interface", "language": "en"}'
         if "after the plan" in u:
             return '{"rewritten_prompt": "a better prompt"}'
         if "Check the rewritten" in u:
             return '{"changed": false}'
         if "Compare the rewritten" in u:
-            return '{"intent_fidelity": 9, "format_valid": true}'
+            return json.dumps(dict.fromkeys(judges.REWRITE_INT, 9) | dict.fromkeys(judges.REWRITE_BOOL, True))
         if "categories" in u:
             return "<answer>Math</answer>"
         return f"<answer>reply {r.id} {r.index}</answer>"
@@ -43,7 +44,7 @@ def rows(spark):
 
 
 def test_there_is_every_job():
-    assert len(jobs.JOBS) == 40
+    assert len(jobs.JOBS) == 44
     with pytest.raises(ValueError):
         jobs.run("nothing", None)
 
@@ -66,7 +67,7 @@ def test_judged_jobs(rows):
 
 def test_rewrite_chain(rows):
     out = jobs.run("agentic_rewrite", rows, clever).collect()
-    assert {(r.response, r.scene, r.language, r.agent_trace.reflection) for r in out} == {("a better prompt", "coding", "en", "ok")} and len(out) == 2
+    assert {(r.response, r.scene, r.language, r.agent_trace.reflection) for r in out} == {("a better prompt", "ui_interface", "en", "ok")} and len(out) == 2
     sft = jobs.run("pe_rewrite_distill", rows, clever, rounds=2).collect()
     assert {r.messages[-1].content for r in sft} == {"a better prompt"}
 
@@ -80,7 +81,7 @@ def test_media(spark):
     seeds = spark.createDataFrame([("p", "a red boat"), ("q", "")], "id string, prompt string")
     out = jobs.run("t2i_distill", seeds, FakeMediaBackend).collect()
     assert len(out) == 1 and json.loads(out[0].messages[1].content)[0]["url"].startswith("https://media.example/p/0")
-    assert jobs.run("advanced_t2v_distill", seeds, clever, media=FakeMediaBackend, thresholds={"motion_quality": 5}).count() == 1
+    assert jobs.run("advanced_t2v_distill", seeds, clever, media=FakeMediaBackend, thresholds={"visual_quality": 5}).count() == 1
 
 
 def test_a_failing_call_drops_its_row_only(rows):
