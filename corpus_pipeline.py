@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graingrid.llm import op03_decontaminate, op06_langid, op07_mixing, op09_secrets, op10_simhash
-from graingrid.llm.durable import written
+from graingrid.llm.durable import discard, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each one's result written to the shared folder and read by the next."""
+    """All stages, each one's result written to the shared folder and read by the next; what has been read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs)
+            out = written(out)
+            discard(docs)
+        docs = out
     return docs

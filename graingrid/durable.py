@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame
 
@@ -38,7 +39,22 @@ def written(df: DataFrame) -> DataFrame:
     """The frame, written as Parquet beside the session's checkpoints and read back."""
     path = f"{_folder(df)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    _TABLES[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_TABLES: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a frame that :func:`written` gave and nothing reads any more; other frames are left alone."""
+    held, path = _TABLES.pop(id(df), (None, ""))
+    if held is None or held() is not df:
+        return
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

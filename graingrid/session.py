@@ -22,6 +22,7 @@ def session(master: str | None = None, app: str = "graingrid", **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.speculation": "false",  # a second copy of a task would repeat its model calls
     }
     for k, v in (settings | conf).items():
