@@ -108,3 +108,20 @@ def test_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __place string, place int")
     out = S.deduplicate(df)
     assert out.columns == df.columns and {(r.doc_id, r.place) for r in out.collect()} == {(1, 1), (2, 3), (None, None)}
+
+
+def test_recall_at_the_edge_of_the_radius():
+    """Pairs at 16 to 20 bits, all in one table set: found as often as the sampled bits say."""
+    rng = np.random.default_rng(5)
+    for d in (12, 16, 18, 20):
+        base = rng.integers(0, 2, (1500, S.BITS), dtype=np.uint8)
+        near = base.copy()
+        for row in near:
+            row[rng.permutation(S.BITS)[:d]] ^= 1
+        both = np.packbits(np.vstack([base, near]), axis=1).view(np.uint64)
+        sig, ids = np.hstack([both, np.zeros_like(both)]), np.arange(3000)
+        keys, found = S.keys_of(sig), set()
+        for t in range(S.TABLES):
+            found |= set(zip(*(x.tolist() for x in S.linked(ids, sig, keys[:, t], S.RADIUS, S.PAIR_RADIUS))))
+        got = sum((k + 1500, k) in found for k in range(1500)) / 1500
+        assert got >= {12: 0.998, 16: 0.98, 18: 0.95, 20: 0.92}[d]
