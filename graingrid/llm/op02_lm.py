@@ -162,9 +162,10 @@ class LogBilinear:
                 (self.b, seen.b, np.concatenate([w, x]), np.concatenate([up, -down.sum(0)])),
                 (self.r, seen.r, c.ravel(), (gh[:, None, :] * self.c).reshape(-1, self.dim)),
             ):
-                rows_at, back = np.unique(at, return_inverse=True)
-                total = np.zeros((len(rows_at), *g.shape[1:]), np.float32)
-                np.add.at(total, back, g.astype(np.float32))
+                by = np.argsort(at, kind="stable")
+                at = at[by]
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                rows_at, total = at[first], np.add.reduceat(g[by].astype(np.float32), first, axis=0)
                 total *= len(k) ** 0.5
                 acc[rows_at] += total * total
                 par[rows_at] += rate * total / np.sqrt(acc[rows_at])
