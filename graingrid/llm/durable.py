@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import BROADCAST_BYTES, checkpointed, small, written
+from ..durable import BROADCAST_BYTES, checkpointed, discard, small, written
 
-__all__ = ["BROADCAST_BYTES", "checkpointed", "small", "unused", "without_ids", "written"]
+__all__ = ["BROADCAST_BYTES", "checkpointed", "discard", "small", "unused", "without_ids", "written"]
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -30,7 +30,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op04_urls.score(_read(spark, sf_dir, "pages"))
+    pages = _read(spark, sf_dir, "pages")
+    return op04_urls.score(pages, op04_urls.weak_labels(pages, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
 
 
 def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,7 @@
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from graingrid.llm import op03_decontaminate as D
 from graingrid.llm import op06_langid as L
@@ -32,3 +36,27 @@ def test_stages_take_empty_tables(spark, sf):
 def test_every_query_runs(spark, sf):
     for name, q in queries.queries().items():
         assert q(spark, sf).columns, name
+
+
+def test_run_over_nulls_long_texts_repeats_and_clashing_names(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels, bench = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    few = docs.where("doc_id < 80").withColumns({"rate": F.lit("mine"), "spin": F.lit(1.5), "place": F.lit(None).cast("int"), "__text": F.lit("x"), "group_id": F.lit(7), "row": F.lit(3)})
+    item = bench.orderBy("item_id").first().text
+    long = " ".join(f"the river and the house number{k} of the town" for k in range(20000))
+    odd = [(9001, None, "en", "s", None), (9002, "", "en", "s", 0), (9003, "!!! ... ???", None, None, 11), (9004, long, "en", "s", len(long)), (9005, long + " token=Zx81kfQ9aaBB77cc1", "en", "s", len(long)), (None, "the people of the house and the town went on with it", "en", "s", 51), (9006, f"the words before it {item} and after it", "en", "s", 99)]
+    odd += [(9007, "the same text of the house and the people in it, twice", "en", "s", 54)] * 2
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    every = few.unionByName(more, allowMissingColumns=True).select(few.columns)
+    every.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.union(labels.limit(5)).unionByName(spark.createDataFrame([(None, None, None)], labels.schema)).write.parquet(str(tmp_path / "labels.parquet"))
+    bench.unionByName(spark.createDataFrame([(None, None), (77777, None), (77778, "")], "item_id long, text string").select(*(F.col(c).cast(bench.schema[c].dataType) for c in bench.columns))).write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = C.run(spark, str(tmp_path))
+    assert out.columns == [*(c for c in few.columns if c != "rate"), "n_tokens", "p_high", "p_low", "p_toxic", "rate", "copies"]
+    rows = out.collect()
+    ids = [r.doc_id for r in rows]
+    assert ids.count(9007) == 1 and ids.count(None) == 1 and 9006 not in ids and not {9001, 9002, 9003} & set(ids)
+    assert ids.count(9004) + ids.count(9005) == 1 and all(r.rate >= 0 and r.spin in (1.5, None) for r in rows)
+    assert not any("Zx81kfQ9" in r.text for r in rows)
+    # only the last stage's input is left of what was written between them
+    assert len(list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("table-*"))) >= 1
