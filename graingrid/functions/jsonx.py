@@ -81,8 +81,16 @@ def sliced_object(text: Column) -> Column:
 
 
 def strict_object(text: Column) -> Column:
-    """A JSON object: whole, fenced, or the first balanced one in prose (in Python)."""
-    return F.coalesce(_object(text), _object(unfenced(text)), balanced_json(text))
+    """A JSON object: whole, fenced, or the first balanced one in prose (in Python, and only where the others fail)."""
+    plain = F.coalesce(_object(text), _object(unfenced(text)))
+    return F.coalesce(plain, balanced_json(F.when(plain.isNull(), text)))
+
+
+def block_object(text: Column) -> Column:
+    """The first balanced object, without code fences around it, if that is JSON; later ones aren't looked for."""
+    bare = unfenced(text)
+    plain = _object(bare)
+    return F.coalesce(plain, _object(balanced(F.when(plain.isNull(), bare))))
 
 
 def string_field(text: Column, key: str) -> Column:

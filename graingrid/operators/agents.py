@@ -278,11 +278,11 @@ def evaluate(call: Caller, row: dict[str, Any], repeat: int, max_steps: int, rol
     return {"trajectories": runs, "accuracy": sum(r["is_correct"] for r in runs) / n if n else 0.0, "avg_turns": sum(r["turns"] for r in runs) / n if n else 0.0}
 
 
-def search_rollouts(df: DataFrame, make: Factory, repeat: int = 2, max_steps: int = 12, workers: int = 4, roles: dict | None = None) -> DataFrame:
-    """Tasks (id, question, answer) with trajectories, accuracy and avg_turns."""
+def search_rollouts(df: DataFrame, make: Factory, repeat: int = 2, max_steps: int = 12, workers: int = 4, roles: dict | None = None, tools: Callable[[Caller], SearchTools] | None = None) -> DataFrame:
+    """Tasks (id, question, answer) with trajectories, accuracy and avg_turns; tools are simulated by the model unless given (see ``web.web_tools``)."""
     df = with_pos(df).drop("trajectories", "accuracy", "avg_turns")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", trajectories array<struct<{RUN}>>, accuracy double, avg_turns double"
-    return _map_rows(df, make, lambda call, row: [row | evaluate(call, row, repeat, max_steps)], schema, workers, roles)
+    return _map_rows(df, make, lambda call, row: [row | evaluate(call, row, repeat, max_steps, tools=tools)], schema, workers, roles)
 
 
 def fallback_judgment(is_correct: bool, steps: int, enough: int = 4) -> dict[str, Any]:

@@ -53,7 +53,7 @@ def call_json(df: DataFrame, make: Factory, words: Column, ident: Column, images
     left, done = df, None
     for n in range(retries + 1):
         got = call_model(left, make, F.array(message("user", asked)), ident, F.lit(n), {"temperature": 0.0, "max_tokens": 8000} | options, workers)
-        got = got.withColumn(out, jsonx.strict_object(F.col("response"))).select(*df.columns, out)
+        got = got.withColumn(out, jsonx.block_object(F.col("response"))).select(*df.columns, out)
         good = got.where(F.col(out).isNotNull())
         done = good if done is None else done.unionByName(good)
         left = got.where(F.col(out).isNull())

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import checkpointed
 from ..functions.rows import POS, any_of, first_truthy, with_pos
-from .select import keep_last
+from .select import keep_first, keep_last
 
 
 def merge_scores(rows: DataFrame, scores: DataFrame, key: str = "id", metrics: list[str] | None = None) -> DataFrame:
@@ -64,14 +65,22 @@ def pivot_metrics(judged: DataFrame, metrics: list[str], by: list[str], value: s
     return judged.groupBy(*by).pivot("metric", metrics).agg(F.last(value))
 
 
+def configured(df: DataFrame, rows: int) -> DataFrame:
+    """A table that is written by hand, and sent to all tasks; raises if it has more rows than such a table can have."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"a configured table has more than {rows} rows")
+    return df
+
+
 def cases_by_teacher(cases: DataFrame, teachers: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every case with every judge and dimension group. Both are a handful of configured rows."""
+    """Every case with every judge and dimension group. Both are a handful of configured rows; thousands raise."""
+    teachers, groups = configured(teachers, 1000), configured(groups, 1000)
     return cases.crossJoin(F.broadcast(teachers)).crossJoin(F.broadcast(groups))
 
 
 def with_l1(votes: DataFrame, pool: DataFrame) -> DataFrame:
-    """Votes with their dimension's top group, 'unknown' for a dimension that isn't in the pool (a configured table)."""
-    dim = pool.select(F.col("l3").alias("dimension"), F.col("l1").alias("__l1")).distinct()
+    """Votes with their dimension's top group, 'unknown' for a dimension that isn't in the pool (a configured table; a huge one raises)."""
+    dim = configured(pool.select(F.col("l3").alias("dimension"), F.col("l1").alias("__l1")).distinct(), 100_000)
     return votes.join(F.broadcast(dim), "dimension", "left").withColumn("l1", F.coalesce("__l1", F.lit("unknown"))).drop("__l1")
 
 
@@ -134,11 +143,16 @@ def finished(df: DataFrame, kind: str, key: str = "_key") -> DataFrame:
 
 
 def through_cache(requests: DataFrame, cache: DataFrame, compute, key: str = "key"):
-    """Results by key: from the cache where it has them, else computed; and what was computed, to append to the cache."""
-    known = cache.dropDuplicates([key])
-    hits = requests.join(known, key)
-    fresh = compute(requests.join(known.select(key), key, "left_anti"))
-    return hits.select(fresh.columns).unionByName(fresh), fresh
+    """Results by key: from the cache where it has them (the last by position, if it has positions), else computed; and what was computed, to append to the cache.
+
+    A key is computed once however many requests have it, and what is computed is stored at once, so that using both frames
+    computes nothing twice.
+    """
+    known = keep_last(cache, [F.col(key)]).drop(POS) if POS in cache.columns else keep_first(cache, [F.col(key)], [F.to_json(F.struct(*cache.columns))])
+    missing = requests.join(known.select(key), key, "left_anti")
+    fresh = checkpointed(compute(keep_first(missing, [F.col(key)], [F.to_json(F.struct(*missing.columns))])))
+    asked = requests.select(key)
+    return asked.join(known, key).select(fresh.columns).unionByName(asked.join(fresh, key).select(fresh.columns)), fresh
 
 
 def seed_of(ident: Column) -> Column:

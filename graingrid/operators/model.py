@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import random
+import re
 import time
 import urllib.error
 import urllib.request
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..durable import checkpointed
+from ..journal import FolderCache
 
 
 @dataclass
@@ -121,7 +124,7 @@ def _post(url: str, body: dict | None, headers: dict[str, str], timeout: float)
 
 
 class ChatBackend:
-    """Any service with the common chat completions protocol. ``ping`` says how health is checked: models, call or key."""
+    """Any service with the common chat completions protocol. ``ping`` says how health is checked: models, call, either (the first, else the second) or key."""
 
     def __init__(self, url: str, key: str = "", model: str = "", timeout: float = 120.0, ping: str = "models", **options: Any):
         base = url.rstrip("/")
@@ -150,9 +153,13 @@ class ChatBackend:
         try:
             if self.ping == "key":
                 return bool(self.key)
-            if self.ping == "call":
-                return bool(self.generate(Request([{"role": "user", "content": "hi"}], options={"max_tokens": 1})))
-            return bool(_post(f"{self.url}/models", None, self._headers, self.timeout))
+            if self.ping != "call":
+                try:
+                    return bool(_post(f"{self.url}/models", None, self._headers, self.timeout))
+                except Exception:
+                    if self.ping != "either":
+                        return False
+            return bool(self.generate(Request([{"role": "user", "content": "hi"}], options={"max_tokens": 1})))
         except Exception:
             return False
 
@@ -164,17 +171,35 @@ class TaskBackend:
     """Media services that take a task and are polled until it is done, or answer at once.
 
     ``submit`` and ``status`` are paths, the latter with {task}. An expired wait is no transient failure: the paid task
-    isn't submitted again. Results are URLs, or files below ``folder`` for inline bytes.
+    isn't submitted again. A request's first frame goes where ``frame`` says (a field, or ``media`` for a list of typed
+    media), and then its size, resolution and ratio stay away, as they follow the frame; without one, a size only goes
+    where neither resolution nor ratio is given. Results are URLs; inline bytes become data URLs, or files below
+    ``folder``; with ``download`` the URLs' contents do, too.
     """
 
-    def __init__(self, url: str, key: str = "", model: str = "", submit: str = "/tasks", status: str = "/tasks/{task}", poll: float = 2.0, wait: float = 300.0, folder: str | None = None, timeout: float = 120.0, **options: Any):
+    def __init__(
+        self, url: str, key: str = "", model: str = "", submit: str = "/tasks", status: str = "/tasks/{task}", poll: float = 2.0, wait: float = 300.0, folder: str | None = None, timeout: float = 120.0, frame: str = "img_url",
+        download: bool = False, suffix: str = "png", **options: Any,
+    ):
         self.url, self.key, self.model, self.submit, self.status = url.rstrip("/"), key, model, submit, status
         self.poll, self.wait, self.folder, self.timeout, self.options = poll, wait, folder, timeout, options
+        self.frame, self.download, self.suffix = frame, download, suffix
+        if download and not folder:
+            raise ValueError("downloads need a folder")
+
+    def body(self, request: Request) -> dict[str, Any]:
+        given = {k: v for k, v in (self.options | request.options).items() if k not in ("model", "first_frame_image", "suffix") and v not in (None, "")}
+        inputs: dict[str, Any] = {"prompt": request.user}
+        if first := request.options.get("first_frame_image"):
+            inputs |= {"media": [{"type": "first_frame", "url": first}]} if self.frame == "media" else {self.frame: first}
+            given = {k: v for k, v in given.items() if k not in ("size", "resolution", "ratio")}
+        elif "resolution" in given or "ratio" in given:
+            given.pop("size", None)
+        return {"model": request.options.get("model") or self.model, "input": inputs, "parameters": given}
 
     def generate(self, request: Request) -> Answer:
-        headers = {"Authorization": f"Bearer {self.key}", "X-Async": "enable"} if self.key else {"X-Async": "enable"}
-        body = {"model": request.options.get("model", self.model), "input": {"prompt": request.user}, "parameters": self.options | request.options}
-        got, until = _post(self.url + self.submit, body, headers, self.timeout), time.monotonic() + self.wait
+        headers = {"X-Async": "enable"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        got, until = _post(self.url + self.submit, self.body(request), headers, self.timeout), time.monotonic() + self.wait
         task = self._find(got, "task_id")
         while not (urls := self._urls(got, request.id)):
             state = str(self._find(got, "task_status") or self._find(got, "status") or "").upper()
@@ -187,6 +212,8 @@ class TaskBackend:
                 got = _post(self.url + self.status.replace("{task}", task), None, headers, self.timeout)
             except Transient:
                 continue
+        if self.download:
+            urls = [self._fetch(u, f"{request.id}-{k}") if u.startswith("http") else u for k, u in enumerate(urls)]
         return Answer(urls=urls, model=self.model)
 
     @classmethod
@@ -202,20 +229,27 @@ class TaskBackend:
                 if k in ("url", "video_url", "image_url") and isinstance(v, str):
                     out.append(v)
                 elif k == "b64_json" and isinstance(v, str):
-                    out.append(self._keep(v, f"{ident}-{len(out)}"))
+                    out.append(self._keep(base64.b64decode(v), f"{ident}-{len(out)}"))
                 else:
                     out += self._urls(v, ident)
         elif isinstance(value, list):
-            for v in value:
-                out += self._urls(v, f"{ident}-{len(out)}")
+            for n, v in enumerate(value):
+                out += self._urls(v, f"{ident}-{n}")
         return out
 
-    def _keep(self, encoded: str, name: str) -> str:
+    def _fetch(self, url: str, name: str) -> str:
+        try:
+            with urllib.request.urlopen(url, timeout=self.timeout) as r:
+                return self._keep(r.read(), name)
+        except (urllib.error.URLError, TimeoutError, ConnectionError):
+            return url  # the result is there, and paid; only its copy isn't
+
+    def _keep(self, data: bytes, name: str) -> str:
         if not self.folder:
-            return f"data:image/png;base64,{encoded}"
-        path = Path(self.folder) / f"{name}.png"
+            return f"data:image/png;base64,{base64.b64encode(data).decode()}"
+        path = Path(self.folder) / f"{re.sub('[^a-zA-Z0-9_-]', '_', name)}.{self.suffix}"
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(base64.b64decode(encoded))
+        path.write_bytes(data)
         return str(path)
 
     def healthy(self) -> bool:
@@ -226,19 +260,66 @@ class TaskBackend:
 
 
 Factory = Callable[[], Backend]
-_KINDS: dict[str, Callable[..., Backend]] = {"fake": FakeBackend, "fake_media": FakeMediaBackend, "chat": ChatBackend, "task": TaskBackend}
+_KINDS: dict[str, tuple[Callable[..., Backend], dict[str, Any]]] = {
+    "fake": (FakeBackend, {}),
+    "fake_media": (FakeMediaBackend, {}),
+    "chat": (ChatBackend, {}),  # health by the list of models
+    "chat_endpoint": (ChatBackend, {"ping": "either"}),  # by that list, else by a call
+    "chat_token": (ChatBackend, {"ping": "key"}),  # by having a key
+    "image_task": (TaskBackend, {"poll": 2.0, "wait": 300.0}),
+    "image_direct": (TaskBackend, {"submit": "/images/generations", "status": "/tasks/{task}", "poll": 2.0, "wait": 300.0}),
+    "diffusion": (TaskBackend, {"poll": 5.0, "wait": 300.0}),
+    "video_task": (TaskBackend, {"poll": 5.0, "wait": 1800.0, "frame": "media", "suffix": "mp4"}),
+    "video_direct": (TaskBackend, {"submit": "/videos/generations", "poll": 10.0, "wait": 1800.0, "suffix": "mp4"}),
+    "task": (TaskBackend, {}),
+}
+#: Settings that a service without them takes from the environment.
+_ENV = {"url": "MODEL_BASE_URL", "key": "MODEL_API_KEY", "model": "MODEL_NAME"}
+_BOUNDS = {"timeout": (0, 3600), "poll": (0, 600), "wait": (0, 86400), "temperature": (-1e-9, 5), "max_tokens": (0, 1 << 20)}
+
+
+def number(config: dict[str, Any], name: str, default: float | None = None, low: float | None = None, high: float | None = None) -> float | None:
+    """A setting as a number (what is missing or null is the default); raises for other values, and out of bounds."""
+    v = config.get(name)
+    if v is None:
+        return default
+    try:
+        v = float(v) if not isinstance(v, bool) else float("nan")
+    except (TypeError, ValueError):
+        v = float("nan")
+    if v != v or low is not None and v <= low or high is not None and v > high:
+        raise ValueError(f"{name} must be a number" + (f" above {low:g}" if low is not None else "") + (f" and at most {high:g}" if high is not None else ""))
+    return int(v) if v == int(v) and not isinstance(config[name], float) else v
 
 
-def backend_factory(config: dict[str, Any]) -> Factory:
-    """From settings (``type`` and that type's arguments) to a factory that can be shipped."""
+def backend_factory(config: dict[str, Any], env: dict[str, str] | None = None) -> Factory:
+    """From settings (``type`` and that type's arguments) to a factory that can be shipped; URL, key and model may come from the environment."""
     kind = config.get("type", "chat")
     if kind not in _KINDS:
         raise ValueError(f"backend type {kind} is none of {', '.join(_KINDS)}")
-    for name in ("timeout", "poll", "wait"):
-        if name in config and not float(config[name]) > 0:
-            raise ValueError(f"{name} must be positive")
-    options = {k: v for k, v in config.items() if k != "type"}
-    return lambda: _KINDS[kind](**options)
+    make, preset = _KINDS[kind]
+    options = preset | {k: v for k, v in config.items() if k != "type" and v is not None}
+    for name, (low, high) in _BOUNDS.items():
+        if name in options:
+            options[name] = number(options, name, low=low, high=high)
+    if make in (ChatBackend, TaskBackend):
+        env = dict(os.environ) if env is None else env
+        options |= {k: env[v] for k, v in _ENV.items() if not options.get(k) and env.get(v)}
+        if not options.get("url"):
+            raise ValueError(f"a backend of type {kind} needs a url, or {_ENV['url']} in the environment")
+    return lambda: make(**options)
+
+
+def check_health(makes: dict[str, Factory]) -> dict[str, bool]:
+    """Whether each service answers; services are closed again."""
+    out = {}
+    for name, make in makes.items():
+        backend = make()
+        try:
+            out[name] = bool(backend.healthy())
+        finally:
+            backend.close()
+    return out
 
 
 def with_retries(call: Callable[[], Answer], retries: int = 3, base: float = 1.0, cap: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Answer:
@@ -265,12 +346,22 @@ def _messages(raw: str | None) -> list[dict[str, Any]]:
     return out
 
 
-def call_model(df: DataFrame, make: Factory, messages: Column, ident: Column | None = None, index: Column | None = None, options: dict[str, Any] | Column | None = None, workers: int = 1, retries: int = 3, base: float = 1.0, keep: bool = True) -> DataFrame:
+#: The setting that names a shared folder in which finished calls are kept one by one.
+JOURNAL = "spark.graingrid.journal.dir"
+
+
+def call_model(
+    df: DataFrame, make: Factory, messages: Column, ident: Column | None = None, index: Column | None = None, options: dict[str, Any] | Column | None = None, workers: int = 1, retries: int = 3, base: float = 1.0, keep: bool = True,
+    journal: str | None = None,
+) -> DataFrame:
     """The frame with ``response``, ``urls``, ``prompt_tokens``, ``completion_tokens``, ``model`` and ``error``.
 
     ``messages`` is an array of (role, content). A failed call leaves nulls and its error, and the row stays, for the
-    caller to drop. ``keep`` checkpoints the result so that no later action calls again.
+    caller to drop. ``keep`` checkpoints the result so that no later action calls again. With a ``journal`` folder (or the
+    session's, see ``JOURNAL``) each finished call is kept at once, so that a task that is lost and run again, or a job that is
+    started again, makes only the calls that weren't finished.
     """
+    journal = journal or df.sparkSession.conf.get(JOURNAL, None)
     new = ["response", "urls", "prompt_tokens", "completion_tokens", "model", "error"]
     rows = df.drop(*new)
     opts = options if isinstance(options, Column) else F.lit(json.dumps(options or {}))
@@ -279,11 +370,17 @@ def call_model(df: DataFrame, make: Factory, messages: Column, ident: Column | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = make()
+        done = FolderCache(journal) if journal else None
 
         def one(args: tuple) -> tuple:
             raw, rid, k, o = args
+            key = json.dumps([raw, rid, k, o])
+            if done and (held := done.get(key)):
+                return (*held, None)
             try:
                 a = with_retries(lambda: backend.generate(Request(_messages(raw), rid or "", k or 0, json.loads(o or "{}"))), retries, base)
+                if done:
+                    done.set(key, [a.text, a.urls, a.prompt_tokens, a.completion_tokens, a.model])
                 return a.text, a.urls, a.prompt_tokens, a.completion_tokens, a.model, None
             except Exception as e:  # a failed call is a result, too
                 return None, None, None, None, None, f"{type(e).__name__}: {e}"

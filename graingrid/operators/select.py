@@ -203,14 +203,32 @@ def balance(df: DataFrame, distribution: dict[str, float], category: str = "cate
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).drop("__category", "__n", "quota", "__copies", "__h", "__cut", "__more")
 
 
+def numbered(df: DataFrame, order: list[Column], out: str = "__i") -> DataFrame:
+    """The frame with rows numbered from 0 in that order, sorted by range over all tasks."""
+    ranked = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    # a row for each task
+    parts = ranked.groupBy(F.shiftright("__at", 33).alias("__p")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    shift = F.sum("__n").over(Window.orderBy("__p")) - F.col("__n") - F.col("__first")
+    starts = parts.select("__p", shift.alias("__shift"))
+    return ranked.join(F.broadcast(starts), F.shiftright("__at", 33) == F.col("__p")).withColumn(out, F.col("__at") + F.col("__shift")).drop("__at", "__p", "__shift")
+
+
 def in_context_examples(requests: DataFrame, pool: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
-    """Each request with k examples of the pool, by the order of md5(seed + request, position). The pool is small and broadcast as one array."""
-    packed = pool.agg(F.sort_array(F.collect_list(F.struct(POS, "text"))).alias("pool"))
-    if (have := pool.count()) < k:
+    """Each request with k different examples of the pool.
+
+    The pool, in order of position, is cut into k even stretches, and each gives one row, drawn by md5(seed + request, stretch);
+    the draws' own order is theirs in the result. A request needs k rows of the pool by their numbers, so both sides may be
+    large: they are joined by number.
+    """
+    rows = numbered(pool.select(POS, "text"), [F.col(POS)])
+    if (have := rows.count()) < k:
         raise ValueError(f"{k} examples asked of a pool of {have}")
-    out = requests.crossJoin(F.broadcast(packed))
-    keyed = F.transform("pool", lambda p: F.struct(F.md5(F.concat((F.lit(seed) + F.col(POS)).cast("string"), F.lit("-"), p[POS].cast("string"))).alias("h"), p["text"].alias("text")))
-    return out.withColumn("examples", F.transform(F.slice(F.array_sort(keyed), 1, k), lambda p: p["text"])).drop("pool")
+    h = lambda j: F.md5(F.concat((F.lit(seed) + F.col(POS)).cast("string"), F.lit("-"), j.cast("string")))
+    low = lambda j: F.floor(j * have / k)
+    drawn = lambda j: F.struct(h(j).alias("h"), (low(j) + F.conv(F.substring(h(j), 1, 12), 16, 10).cast("bigint") % (low(j + 1) - low(j))).alias("i"))
+    asked = requests.select(POS, F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), drawn)).alias("d")).select(F.col(POS).alias("__request"), "d.h", F.col("d.i").alias("__i"))
+    found = asked.join(rows.select("__i", "text"), "__i").groupBy("__request").agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "text"))), lambda x: x["text"]).alias("examples"))
+    return requests.join(found, F.col(POS) == F.col("__request")).drop("__request")
 
 
 def preference_pairs(

@@ -416,8 +416,9 @@ def anti_cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query(
-    "WITH r(request) AS (SELECT * FROM range(50)), p AS (SELECT item_id, text FROM benchmark), k AS (SELECT request, text, row_number() OVER (PARTITION BY request ORDER BY md5((7 + request)::VARCHAR || '-' || item_id), text) AS n FROM r, p)"
-    " SELECT request, array_to_string(list('Example ' || n || chr(10) || text ORDER BY n), chr(10) || chr(10)) AS examples FROM k WHERE n <= 3 GROUP BY request"
+    "WITH p AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark), d AS (SELECT r AS request, j, md5((7 + r)::VARCHAR || '-' || j) AS h FROM range(50) t(r), range(3) u(j)),"
+    " k AS (SELECT request, h, text, row_number() OVER (PARTITION BY request ORDER BY h, text) AS n FROM d JOIN p ON i = j * p.n // 3 + ('0x' || substr(h, 1, 12))::BIGINT % ((j + 1) * p.n // 3 - j * p.n // 3))"
+    " SELECT request, array_to_string(list('Example ' || n || chr(10) || text ORDER BY n), chr(10) || chr(10)) AS examples FROM k GROUP BY request"
 )
 def in_context_examples(spark: SparkSession, sf: str) -> DataFrame:
     pool = _t(spark, sf, "benchmark").select(F.col("item_id").alias(POS), "text")

@@ -189,10 +189,10 @@ def balanced_objects(spark: SparkSession, sf: str) -> DataFrame:
     return _object(spark, sf).select("doc_id", jsonx.balanced("t").alias("first"), jsonx.balanced_json("t").alias("parsed"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN {_ONE} END AS strict, CASE WHEN doc_id % 5 < 2 THEN {_ONE} END AS sliced, CASE WHEN doc_id % 5 < 3 THEN doc_id END AS a FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN {_ONE} END AS strict, CASE WHEN doc_id % 5 < 2 THEN {_ONE} END AS sliced, CASE WHEN doc_id % 5 < 2 THEN {_ONE} END AS block, CASE WHEN doc_id % 5 < 3 THEN doc_id END AS a FROM documents")
 def json_blocks(spark: SparkSession, sf: str) -> DataFrame:
     strict = jsonx.strict_object(F.col("t"))
-    return _object(spark, sf).select("doc_id", strict.alias("strict"), jsonx.sliced_object(F.col("t")).alias("sliced"), jsonx.field(strict, "a", "bigint").alias("a"))
+    return _object(spark, sf).select("doc_id", strict.alias("strict"), jsonx.sliced_object(F.col("t")).alias("sliced"), jsonx.block_object(F.col("t")).alias("block"), jsonx.field(strict, "a", "bigint").alias("a"))
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || chr(10) || '\"' || source WHEN 1 THEN lang || ' cut' END AS value FROM documents")

@@ -82,7 +82,11 @@ def job_instruct_distill(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.get_json_object("metadata", "$.request_id").alias("id"), F.element_at("messages", -1)["content"].alias("answer"), F.element_at("messages", 1)["content"].alias("asked"))
 
 
-@query("WITH k AS (SELECT r AS request, text, row_number() OVER (PARTITION BY r ORDER BY md5((5 + r)::VARCHAR || '-' || item_id), text) AS n FROM range(40) t(r), benchmark) SELECT request, 'new ' || length(string_agg('Example ' || n || chr(10) || text, chr(10) || chr(10) ORDER BY n)) AS text FROM k WHERE n <= 3 GROUP BY request")
+@query(
+    "WITH p AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark), d AS (SELECT r AS request, j, md5((5 + r)::VARCHAR || '-' || j) AS h FROM range(40) t(r), range(3) u(j)),"
+    " k AS (SELECT request, text, row_number() OVER (PARTITION BY request ORDER BY h, text) AS n FROM d JOIN p ON i = j * p.n // 3 + ('0x' || substr(h, 1, 12))::BIGINT % ((j + 1) * p.n // 3 - j * p.n // 3))"
+    " SELECT request, 'new ' || length(string_agg('Example ' || n || chr(10) || text, chr(10) || chr(10) ORDER BY n)) AS text FROM k GROUP BY request"
+)
 def model_expand(spark: SparkSession, sf: str) -> DataFrame:
     pool = table(spark, sf, "benchmark").select(F.col("item_id").alias(POS), "text")
     out = generate.expand(pool, _answers(lambda r: f"x <answer> new {len(r.user)} </answer>"), 40, 3, 5, prompt="{examples}")

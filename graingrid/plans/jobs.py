@@ -6,6 +6,7 @@ keyword arguments, named as in its function; unknown jobs and options raise.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
@@ -215,8 +216,15 @@ def preference(df: DataFrame, make: Factory, n: int = 2, scorer: str = "judge",
 
 
 def _media(df: DataFrame, make: Factory, kind: str, workers: int, **options: Any) -> DataFrame:
-    """Rows with ``image_urls`` or ``video_urls``; failed ones are dropped."""
-    got = call_model(df, make, F.array(message("user", F.col("prompt"))), F.col("id"), options=options, workers=workers).where("error is null")
+    """Rows with ``image_urls`` or ``video_urls``; failed ones are dropped. A row's own first frame, resolution and ratio go before the options."""
+    value = lambda v: F.lit(v) if isinstance(v, str | int | float) else F.parse_json(F.lit(json.dumps(v)))
+    given = {k: value(v) for k, v in options.items() if v is not None}
+    for c in ("first_frame_image", "resolution", "ratio", "size"):
+        if c in df.columns:
+            own = F.nullif(F.col(c).cast("string"), F.lit(""))
+            given[c] = F.coalesce(own, given[c].cast("string")) if c in given else own
+    told = F.to_json(F.struct(*(v.alias(k) for k, v in given.items()))) if given else None
+    got = call_model(df, make, F.array(message("user", F.col("prompt"))), F.col("id"), options=told, workers=workers).where("error is null")
     return got.withColumnRenamed("urls", f"{kind}_urls").drop("response", "prompt_tokens", "completion_tokens", "model", "error")
 
 

@@ -73,3 +73,14 @@ def test_first_of_a_task_is_cut_before_the_shuffle(spark):
     out = aggregate.first_per_task(df, "id", 3)
     assert {r.task_id: [x.s for x in r.solutions] for r in out.collect()} == {"t": ["s0", "s2", "s4"], "unknown": ["s1", "s3", "s5"]}
     assert "WindowGroupLimit" in plan(out)
+
+
+def test_numbers_and_examples_of_a_large_pool(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7 % 5000).alias(POS), F.concat(F.lit("e"), F.col("id").cast("string")).alias("text"))
+    got = select.numbered(df.where(f"{POS} % 2 = 0"), [F.col(POS)]).collect()
+    assert all(r[POS] == 2 * r["__i"] for r in got) and len(got) == 2500
+    asked = spark.range(300).select(F.col("id").alias(POS))
+    out = select.in_context_examples(asked, df, 4, 1).collect()
+    assert len(out) == 300 and all(len(set(r.examples)) == 4 for r in out) and len({x for r in out for x in r.examples}) > 900
+    small = df.where(f"{POS} < 3")
+    assert all(len(set(r.examples)) == 3 for r in select.in_context_examples(asked, small, 3).collect())
