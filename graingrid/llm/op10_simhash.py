@@ -18,7 +18,8 @@ whole tables are spread over tasks; beyond it each shard's points are shuffled
 to one task, a shard after the other. Both ways give the same groups. Points
 near the root of their tree are in its component, and are compared only to
 those that aren't, which keeps a shard of near copies from taking quadratic
-time.
+time. A shard of over ``block`` points is cut into blocks: points near its
+pivot are members of one block each, the others come to all of them.
 
 Shards are buckets of sampled bits, so recall is theirs: a pair that differs in
 d of 128 bits shares no shard with a probability measured as 7 % at d = 20, 1 %
@@ -44,6 +45,8 @@ from .durable import checkpointed, small, unused, without_ids
 from .textcore import U, Words, as_longs, blocks, flat, mix, ranges
 
 BITS, RADIUS, PAIR_RADIUS, TABLES, KEY_BITS = 128, 20, 32, 48, 16
+#: Points beyond which a shard is cut into blocks; shards that large are at most TABLES / BLOCK times as many as points.
+BLOCK = 1 << 17
 POINTS = "id long, u0 long, u1 long, b0 long, b1 long"
 
 _LANES = np.zeros((256, 8), np.uint8)
@@ -161,9 +164,12 @@ class Forest:
             q, node = q[who], self.kids[k]
 
 
-def linked(ids: np.ndarray, sig: np.ndarray, shard: np.ndarray, radius: int, pair_radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, smaller id of its component) that span the components within each shard."""
-    order = np.argsort(shard, kind="stable")
+def linked(ids: np.ndarray, sig: np.ndarray, shard: np.ndarray, radius: int, pair_radius: int, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, smaller id of its component) that span the components within each shard.
+
+    ``kind`` is given for blocks of split shards: 1 for what is near the shard's pivot, 2 for what isn't, 0 elsewhere.
+    """
+    order = np.argsort(shard, kind="stable") if kind is None else np.lexsort((kind == 2, shard))
     ids, sig, shard = ids[order], sig[order], shard[order]
     _, at, size = np.unique(shard, return_index=True, return_counts=True)
     many = np.repeat(size > 1, size)
@@ -174,6 +180,10 @@ def linked(ids: np.ndarray, sig: np.ndarray, shard: np.ndarray, radius: int, pai
     # what is near its tree's root is in the root's component, and needn't be compared to others near the root
     root = forest.root
     core = (_hamming(forest.sig, forest.sig[root]) <= radius) & (_hamming(sig[:, 2:], sig[root, 2:]) <= pair_radius)
+    if kind is not None:
+        kind = kind[order][many]
+        # in a block what is near the pivot comes first, so that its first is the root
+        core = np.where(kind == 0, core, kind == 1)
     label = np.where(core, root, np.arange(len(ids)))
     _, size = np.unique(shard, return_counts=True)
     rest = np.flatnonzero(~core)
@@ -202,10 +212,11 @@ def _edges_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _search_shards(radius: int, pair_radius: int):
-    """Over points in the order of shards: whole shards, some tens of thousands of points at a time."""
+    """Over points in the order of shards: whole shards or blocks, some tens of thousands of points at a time."""
 
     def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-        return _edges_batch(*linked(cols[1], np.stack(cols[2:], 1).view(np.uint64), cols[0], radius, pair_radius))
+        kind = cols[6] if len(cols) > 6 else None
+        return _edges_batch(*linked(cols[1], np.stack(cols[2:6], 1).view(np.uint64), cols[0], radius, pair_radius, kind))
 
     def run(batches):
         held, n, wait = [], 0, 1 << 16
@@ -236,6 +247,58 @@ def _to_shards(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), b.column(0).take(pa.array(at)), *(pa.array(s[at, k]) for k in range(4))], ["shard", "id", "u0", "u1", "b0", "b1"])
 
 
+def _to_blocks(sent, radius: int, pair_radius: int, block: int):
+    """Points of large shards (shard, its size, its pivot) cut into blocks, and what links to the pivot.
+
+    Near the pivot a point is in the pivot's component, and a member of one block; others are in every block. The shard of a
+    block is a number of its own, below zero; ``kind`` 3 rows are edges from id to the pivot, in u0.
+    """
+
+    def run(batches):
+        shards, sizes, pivots, ids_of = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            shard, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            s = np.stack([b.column(k).to_numpy() for k in range(2, 6)], 1)
+            at = np.minimum(np.searchsorted(shards, shard), len(shards) - 1)
+            hot = shards[at] == shard
+            cold = np.flatnonzero(~hot)
+            rows = [(shard[cold].astype(np.int64), ids[cold], s[cold], np.zeros(len(cold), np.int32))]
+            k = np.flatnonzero(hot)
+            if len(k):
+                at, u = at[k], s[k].view(np.uint64)
+                near = (_hamming(u[:, :2], pivots[at, :2]) <= radius) & (_hamming(u[:, 2:], pivots[at, 2:]) <= pair_radius)
+                blocks_of = -(-sizes[at] // block)
+                mine = (mix(ids[k].view(np.uint64)) % blocks_of.astype(np.uint64)).astype(np.int64)
+                who, number = ranges(np.where(near, mine, 0), np.where(near, mine + 1, blocks_of))
+                rows.append((-1 - (at[who].astype(np.int64) << 32) - number, ids[k][who], s[k][who], np.where(near[who], 1, 2).astype(np.int32)))
+                linked_to = np.flatnonzero(near & (ids[k] != ids_of[at]))
+                edge = np.zeros((len(linked_to), 4), np.int64)
+                edge[:, 0] = ids_of[at[linked_to]]
+                rows.append((mix(ids[k][linked_to].view(np.uint64)).view(np.int64) | (1 << 40), ids[k][linked_to], edge, np.full(len(linked_to), 3, np.int32)))
+            shard, ids, s, kind = (np.concatenate(c) for c in zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids), *(pa.array(s[:, k].copy()) for k in range(4)), pa.array(kind)], ["shard", "id", "u0", "u1", "b0", "b1", "kind"])
+
+    return run
+
+
+def _shuffled_edges(points: DataFrame, radius: int, pair_radius: int, block: int) -> DataFrame:
+    """Edges of all shards, each in one task, but large ones in blocks."""
+    placed = points.mapInArrow(_to_shards, "shard int, " + POINTS)
+    # what is counted is a number a shard, added up before it is shuffled; few shards are large
+    large = placed.groupBy("shard").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "u0", "u1", "b0", "b1"), "id").alias("p")).where(F.col("n") > block)
+    large = checkpointed(large.select("shard", "n", "p.*").orderBy("shard"))
+    if large.isEmpty():
+        return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_shards(radius, pair_radius), EDGES)
+    t = large.orderBy("shard").toArrow()
+    pivots = np.stack([t[c].to_numpy() for c in ("u0", "u1", "b0", "b1")], 1).view(np.uint64)
+    sent = points.sparkSession.sparkContext.broadcast((t["shard"].to_numpy(), t["n"].to_numpy(), pivots, t["id"].to_numpy()))
+    cut = placed.mapInArrow(_to_blocks(sent, radius, pair_radius, block), "shard long, " + POINTS + ", kind int")
+    edges = cut.where("kind = 3").select(F.greatest("id", "u0").alias("a"), F.least("id", "u0").alias("b"))
+    return edges.union(cut.where("kind < 3").repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_shards(radius, pair_radius), EDGES))
+
+
 def _search_tables(points, radius: int, pair_radius: int):
     """Over the numbers of tables: builds the table's shard trees from the broadcast points and queries every point."""
 
@@ -268,7 +331,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, pair_radius: int = PAIR_RADIUS, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, pair_radius: int = PAIR_RADIUS, broadcast_bytes: int = 16 << 20, block: int = BLOCK) -> DataFrame:
     """doc_id and group_id, the smallest doc_id of the group, of every document in a group of two or more."""
     spark = docs.sparkSession
     sigs = checkpointed(signatures(docs, id_col, text_col))
@@ -281,7 +344,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
         sent = spark.sparkContext.broadcast((t["id"].to_numpy(), sig))
         edges = spark.range(0, TABLES, 1, TABLES).mapInArrow(_search_tables(sent, radius, pair_radius), EDGES)
     else:
-        edges = points.mapInArrow(_to_shards, "shard int, " + POINTS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_shards(radius, pair_radius), EDGES)
+        edges = _shuffled_edges(points, radius, pair_radius, block)
     merged = components(edges)
     # only points of groups are joined back to their documents
     grouped = folded.join(merged, "id", "left").where("n > 1 or root is not null").select(*key, F.coalesce("root", "id").alias("group_id"))

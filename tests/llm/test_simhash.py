@@ -52,10 +52,10 @@ def brute(rows, radius=S.RADIUS, pair_radius=S.PAIR_RADIUS):
     return {(x, r) for x, r in out.items() if r in many}
 
 
-@pytest.mark.parametrize("limit", [1 << 24, 0])
-def test_groups_match_brute_force_either_way(spark, limit):
+@pytest.mark.parametrize("limit,block", [(1 << 24, 1 << 17), (0, 1 << 17), (0, 3), (0, 1)])
+def test_groups_match_brute_force_either_way(spark, limit, block):
     rows = corpus()
-    got = {tuple(r) for r in S.groups(spark.createDataFrame(rows, DOCS), broadcast_bytes=limit).collect()}
+    got = {tuple(r) for r in S.groups(spark.createDataFrame(rows, DOCS), broadcast_bytes=limit, block=block).collect()}
     want = brute(rows)
     assert len(want) >= 50
     assert got == want
