@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..durable import checkpointed
+from ..durable import checkpointed, small
 from ..functions.rows import POS, all_of, pystrip, truthy, typed_number, with_pos
 
 Threshold = float | int | bool
@@ -87,9 +87,9 @@ def cuts(df: DataFrame, group: str, order: list[Column], quota: Callable[[Column
 
 def first_of_each(df: DataFrame, group: str, order: list[Column], quota: Callable[[Column], Column]) -> DataFrame:
     """The first rows of each group in the order, as many as the quota makes of its number of rows. No row is moved: each is held against its group's last."""
-    found = cuts(df, group, order, quota)
+    found = checkpointed(cuts(df, group, order, quota))
     key = F.struct(*(o.alias(f"__o{k}") for k, o in enumerate(order)))
-    rows = df.join(found, df[group] == F.col("__g"))
+    rows = df.join(F.broadcast(found) if small(found, 100) else found, df[group] == F.col("__g"))
     return rows.where((F.col("__quota") > 0) & (F.col("__cut").isNull() | (key <= F.col("__cut")))).drop("__g", "__cut", "__quota")
 
 
