@@ -93,11 +93,12 @@ class LogBilinear:
 
     def __init__(self, size: int, dim: int = DIM, context: int = CONTEXT, theta: np.ndarray | None = None):
         self.size, self.dim, self.context = size, dim, context
-        shapes = [(size + 1, dim), (context, dim), (size, dim), (size,)]
+        shapes = [(size + 1, dim), (context, dim), (size, dim + 1)]
         self.theta = np.zeros(sum(int(np.prod(s)) for s in shapes), np.float32) if theta is None else theta.astype(np.float32).copy()
         cuts = np.cumsum([0] + [int(np.prod(s)) for s in shapes])
-        #: context vectors (the last one the start symbol's), place scales, target vectors, biases
-        self.r, self.c, self.q, self.b = (self.theta[a:z].reshape(s) for a, z, s in zip(cuts, cuts[1:], shapes))
+        #: context vectors (the last one the start symbol's), place scales, target vectors with biases as their last column
+        self.r, self.c, self.t = (self.theta[a:z].reshape(s) for a, z, s in zip(cuts, cuts[1:], shapes))
+        self.q, self.b = self.t[:, :dim], self.t[:, dim]
 
     def start(self, count: np.ndarray, seed: int = 7) -> LogBilinear:
         g = np.random.default_rng(seed)
@@ -108,18 +109,27 @@ class LogBilinear:
         return self
 
     def predict(self, ctx: np.ndarray) -> np.ndarray:
-        return np.einsum("ncd,cd->nd", self.r[ctx], self.c)
-
-    def normaliser(self, ctx: np.ndarray) -> np.ndarray:
-        """Log-sum-exp over the vocabulary for rows of contexts."""
-        out = np.empty(len(ctx), np.float32)
-        for a in range(0, len(ctx), 1024):
-            s = self.predict(ctx[a : a + 1024]) @ self.q.T
-            s += self.b
-            top = s.max(1)
-            s -= top[:, None]
-            np.exp(s, out=s)
-            out[a : a + 1024] = top + np.log(s.sum(1))
+        """The contexts' predictions, and a 1 that takes the bias."""
+        out = np.ones((len(ctx), self.dim + 1), np.float32)
+        h = out[:, :-1]
+        np.multiply(self.r[ctx[:, 0]], self.c[0], out=h)
+        for k in range(1, self.context):
+            h += self.r[ctx[:, k]] * self.c[k]
+        return out
+
+    def normaliser(self, h: np.ndarray) -> np.ndarray:
+        """Log-sum-exp over the vocabulary for rows of predictions."""
+        out = np.empty(len(h), np.float32)
+        # no score is greater; where none can overflow, they needn't be lowered first
+        most = np.sqrt((h * h).sum(1)) * np.sqrt((self.t * self.t).sum(1).max()) if len(h) else out
+        for a in range(0, len(h), 512):
+            s = h[a : a + 512] @ self.t.T
+            if most[a : a + 512].max() < 60:
+                out[a : a + 512] = np.log(np.exp(s, out=s).sum(1))
+            else:
+                top = s.max(1)
+                s -= top[:, None]
+                out[a : a + 512] = top + np.log(np.exp(s, out=s).sum(1))
         return out
 
     def logprob(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -128,12 +138,12 @@ class LogBilinear:
         for k in range(1, self.context):
             key = key * (self.size + 1) + ctx[:, k]
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        kinds = ctx[first]
-        z, h = self.normaliser(kinds), self.predict(kinds)
+        h = self.predict(ctx[first])
+        z = self.normaliser(h)
         out = np.empty(len(word), np.float64)
-        for a in range(0, len(word), 1 << 16):
-            w, k = word[a : a + (1 << 16)], back[a : a + (1 << 16)]
-            out[a : a + (1 << 16)] = np.einsum("nd,nd->n", h[k], self.q[w]) + self.b[w] - z[k]
+        for a in range(0, len(word), 1 << 14):
+            w, k = word[a : a + (1 << 14)], back[a : a + (1 << 14)]
+            out[a : a + (1 << 14)] = np.einsum("nd,nd->n", h[k], self.t[w]) - z[k]
         return out
 
     def nce(self, ctx: np.ndarray, word: np.ndarray, count: np.ndarray, rng: np.random.Generator, rate: float = RATE, batch: int = BATCH, noise: int = NOISE) -> None:
@@ -141,38 +151,52 @@ class LogBilinear:
         p = (count + 0.5) ** 0.75
         p /= p.sum()
         log_kp = np.log(noise * p).astype(np.float32)
-        edges = np.cumsum(p)
         seen = LogBilinear(self.size, self.dim, self.context)
         seen.theta += 1.0
         order = rng.permutation(len(word))
-        for a in range(0, len(order), batch):
-            k = order[a : a + batch]
-            c, w = ctx[k], word[k]
-            x = np.minimum(np.searchsorted(edges, rng.random(noise)), self.size - 1)
-            rows = self.r[c]
-            h = np.einsum("ncd,cd->nd", rows, self.c)
-            s = np.einsum("nd,nd->n", h, self.q[w]) + self.b[w] - log_kp[w]
-            t = h @ self.q[x].T + self.b[x] - log_kp[x]
+        ctx, word = ctx[order], word[order]
+        drawn = np.minimum(np.searchsorted(np.cumsum(p), rng.random((-(-len(word) // batch), noise))), self.size - 1).astype(word.dtype)
+        log_word = log_kp[word]
+        dim = self.dim
+        for n, a in enumerate(range(0, len(word), batch)):
+            c, w, x = ctx[a : a + batch], word[a : a + batch], drawn[n]
+            rows = [self.r.take(c[:, k], axis=0) for k in range(self.context)]
+            h = np.ones((len(c), dim + 1), np.float32)
+            np.multiply(rows[0], self.c[0], out=h[:, :dim])
+            for k in range(1, self.context):
+                h[:, :dim] += rows[k] * self.c[k]
+            tw, tx = self.t.take(w, axis=0), self.t.take(x, axis=0)
+            s = np.einsum("nd,nd->n", h, tw) - log_word[a : a + batch]
+            t = h @ tx.T - log_kp[x]
             # data tokens pull their words up by 1 - P(data), noise pushes words down by P(data)
-            up = (1 - 1 / (1 + np.exp(-s))) / len(k)
-            down = (1 / (1 + np.exp(-t))) / len(k)
-            gh = up[:, None] * self.q[w] - down @ self.q[x]
-            for par, acc, at, g in (
-                (self.q, seen.q, np.concatenate([w, x]), np.concatenate([up[:, None] * h, -(down.T @ h)])),
-                (self.b, seen.b, np.concatenate([w, x]), np.concatenate([up, -down.sum(0)])),
-                (self.r, seen.r, c.ravel(), (gh[:, None, :] * self.c).reshape(-1, self.dim)),
-            ):
-                by = np.argsort(at, kind="stable")
-                at = at[by]
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                rows_at, total = at[first], np.add.reduceat(g[by].astype(np.float32), first, axis=0)
-                total *= len(k) ** 0.5
-                acc[rows_at] += total * total
-                par[rows_at] += rate * total / np.sqrt(acc[rows_at])
-            gc = np.einsum("nd,ncd->cd", gh, rows) * len(k) ** 0.5
+            up = 1 / (1 + np.exp(s)) / np.float32(len(c) ** 0.5)
+            down = 1 / (1 + np.exp(-t)) / np.float32(len(c) ** 0.5)
+            gh = up[:, None] * tw - down @ tx
+            gh = gh[:, :dim]
+            self._step(self.t, seen.t, np.concatenate([w, x]), np.concatenate([up[:, None] * h, -(down.T @ h)]), rate)
+            self._step(self.r, seen.r, c.T.ravel(), np.concatenate([gh * self.c[k] for k in range(self.context)]), rate)
+            gc = np.stack([(gh * r).sum(0) for r in rows])
             seen.c += gc * gc
             self.c += 0.1 * rate * gc / np.sqrt(seen.c)
 
+    @staticmethod
+    def _step(par: np.ndarray, acc: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
+        """Adagrad on the rows ``at``, gradients of equal rows summed."""
+        by = at.argsort(kind="stable")
+        at = at.take(by)
+        last = np.append((at[1:] != at[:-1]).nonzero()[0], len(at) - 1)
+        # running sums, and what each row adds to them
+        run = g.take(by, axis=0).cumsum(axis=0)
+        rows, total = at.take(last), run.take(last, axis=0)
+        total[1:] -= run.take(last[:-1], axis=0)
+        new = acc.take(rows, axis=0)
+        new += total * total
+        acc[rows] = new
+        total *= rate
+        total /= np.sqrt(new)
+        total += par.take(rows, axis=0)
+        par[rows] = total
+
 
 def contexts(ids: np.ndarray, ptr: np.ndarray, context: int, start: int) -> np.ndarray:
     """The ids before each token, nearest first."""
