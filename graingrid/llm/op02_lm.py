@@ -169,13 +169,28 @@ class LogBilinear:
             s = np.einsum("nd,nd->n", h, tw) - log_word[a : a + batch]
             t = h @ tx.T - log_kp[x]
             # data tokens pull their words up by 1 - P(data), noise pushes words down by P(data)
-            up = 1 / (1 + np.exp(s)) / np.float32(len(c) ** 0.5)
-            down = 1 / (1 + np.exp(-t)) / np.float32(len(c) ** 0.5)
-            gh = up[:, None] * tw - down @ tx
-            gh = gh[:, :dim]
-            self._step(self.t, seen.t, np.concatenate([w, x]), np.concatenate([up[:, None] * h, -(down.T @ h)]), rate)
-            self._step(self.r, seen.r, c.T.ravel(), np.concatenate([gh * self.c[k] for k in range(self.context)]), rate)
-            gc = np.stack([(gh * r).sum(0) for r in rows])
+            root = np.float32(len(c) ** 0.5)
+            up = np.exp(s, out=s)
+            up += 1
+            up *= root
+            up = np.reciprocal(up, out=up)[:, None]
+            down = np.exp(np.negative(t, out=t), out=t)
+            down += 1
+            down *= -root
+            np.reciprocal(down, out=down)
+            gh = down @ tx
+            gh += up * tw
+            gh = np.ascontiguousarray(gh[:, :dim])
+            g = np.empty((len(c) + noise, dim + 1), np.float32)
+            np.multiply(up, h, out=g[: len(c)])
+            np.matmul(down.T, h, out=g[len(c) :])
+            self._step(self.t, seen.t, np.concatenate([w, x]), g, rate)
+            g = np.empty((self.context, len(c), dim), np.float32)
+            gc = np.empty_like(self.c)
+            for k in range(self.context):
+                np.multiply(gh, self.c[k], out=g[k])
+                np.einsum("nd,nd->d", gh, rows[k], out=gc[k])
+            self._step(self.r, seen.r, c.T.ravel(), g.reshape(-1, dim), rate)
             seen.c += gc * gc
             self.c += 0.1 * rate * gc / np.sqrt(seen.c)
 
@@ -184,7 +199,9 @@ class LogBilinear:
         """Adagrad on the rows ``at``, gradients of equal rows summed."""
         by = at.argsort(kind="stable")
         at = at.take(by)
-        last = np.append((at[1:] != at[:-1]).nonzero()[0], len(at) - 1)
+        ends = np.ones(len(at), bool)
+        np.not_equal(at[1:], at[:-1], out=ends[:-1])
+        last = ends.nonzero()[0]
         # running sums, and what each row adds to them
         run = g.take(by, axis=0).cumsum(axis=0)
         rows, total = at.take(last), run.take(last, axis=0)
