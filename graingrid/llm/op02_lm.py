@@ -3,10 +3,11 @@
 A word's representation is predicted from the CONTEXT words before it as the
 sum of their representations, each scaled by its place's own vector; the
 prediction's product with every word's target vector, plus the word's bias,
-are the scores. Scoring is normalised: over batches of contexts one matrix
-product gives the scores of the whole vocabulary, their log-sum-exp the
-normaliser, and each token its log-probability. Contexts that repeat in a
-batch are normalised once.
+are the scores. Scoring is normalised over the whole vocabulary: a score is a
+sum of one part for each context word, so the sums of exponentials of all
+contexts are one product of two matrices, made once by the driver, and a token
+takes its parts and its normaliser from tables. Models that this doesn't suit
+normalise each context of a batch once, by the log-sum-exp of its scores.
 
 The vocabulary is all words of all documents, counted. The ``TOP`` most
 frequent ones and ``TAIL`` hash classes of all others are what the model
@@ -132,15 +133,43 @@ class LogBilinear:
                 out[a : a + 512] = top + np.log(np.exp(s, out=s).sum(1))
         return out
 
-    def logprob(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Normalised log-probability of each word after its context."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Of contexts of two words, each one's part in every word's score (the bias in the nearest's) and all contexts' normalisers.
+
+        A score is the sum of two parts, so the normalisers' sums over the vocabulary are one product of matrices, of the
+        parts' exponentials. None where a sum of these could vanish, or tables would be large.
+        """
+        if self.context != 2 or self.size > 4096:
+            return None
+        near, far = ((self.r * self.c[k]).astype(np.float64) @ self.q.T.astype(np.float64) for k in range(2))
+        near += self.b
+        top = [x.max(1, keepdims=True) for x in (near, far)]
+        # beyond that the greatest product of two exponentials could be 0
+        if not sum((t - x.min(1, keepdims=True)).max() for t, x in zip(top, (near, far))) < 600:
+            return None
+        z = np.exp(near - top[0]) @ np.exp(far - top[1]).T
+        np.log(z, out=z)
+        z += top[0]
+        z += top[1].T
+        return near.astype(np.float32), far.astype(np.float32), z.astype(np.float32)
+
+    def logprob(self, ctx: np.ndarray, word: np.ndarray, tables: tuple | None = None) -> np.ndarray:
+        """Normalised log-probability of each word after its context; ``tables`` are this model's, if they are at hand."""
+        out = np.empty(len(word), np.float64)
+        if tables := tables or self.tables():
+            near, far, z = (t.ravel() for t in tables)
+            for a in range(0, len(word), 1 << 14):
+                w, c = word[a : a + (1 << 14)].astype(np.int64), ctx[a : a + (1 << 14)].astype(np.int64)
+                s = near.take(c[:, 0] * self.size + w)
+                s += far.take(c[:, 1] * self.size + w)
+                np.subtract(s, z.take(c[:, 0] * (self.size + 1) + c[:, 1]), out=out[a : a + (1 << 14)])
+            return out
         key = ctx[:, 0].astype(np.int64)
         for k in range(1, self.context):
             key = key * (self.size + 1) + ctx[:, k]
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
         h = self.predict(ctx[first])
         z = self.normaliser(h)
-        out = np.empty(len(word), np.float64)
         for a in range(0, len(word), 1 << 14):
             w, k = word[a : a + (1 << 14)], back[a : a + (1 << 14)]
             out[a : a + (1 << 14)] = np.einsum("nd,nd->n", h[k], self.t[w]) - z[k]
@@ -288,7 +317,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, shards:
 
 def _score(sent, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, theta, words, counts = sent.value
+        vocab, theta, tables, words, counts = sent.value
         model = LogBilinear(vocab.size, theta=theta)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -306,7 +335,7 @@ def _score(sent, joined: bool):
                 size += len(ids)
                 if size > 1 << 20 or j == batch.num_rows:
                     ctx, ids, n, share, h, of = (np.concatenate(x) for x in zip(*held))
-                    logp = model.logprob(ctx, ids) + share if size else np.zeros(0)
+                    logp = model.logprob(ctx, ids, tables) + share if size else np.zeros(0)
                     total = np.zeros(len(n))
                     full = np.flatnonzero(n)
                     if len(full):
@@ -345,7 +374,7 @@ def score(docs: DataFrame, vocab: Vocabulary, model: LogBilinear, id_col: str =
         words, counts = table["h"].to_numpy(), table["n"].to_numpy()
         order = np.argsort(words)
         words, counts = words[order], counts[order]
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, model.theta, words, counts))
+    sent = docs.sparkSession.sparkContext.broadcast((vocab, model.theta, model.tables(), words, counts))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not joined:
         return texts.mapInArrow(_score(sent, False), SCHEMA)

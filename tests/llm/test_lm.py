@@ -92,6 +92,32 @@ def test_words_of_a_class_share_its_probability(spark):
         assert a[:2] == b[:2] and all(x == y or abs(x - y) < 1e-9 * max(1, abs(x)) for x, y in zip(a[2:], b[2:]))
 
 
+def test_contexts_are_not_normalised_one_by_one_and_far_scores_stay_right(monkeypatch):
+    done = []
+    own = L.LogBilinear.normaliser
+    monkeypatch.setattr(L.LogBilinear, "normaliser", lambda self, h: done.append(len(h)) or own(self, h))
+    rng = np.random.default_rng(3)
+    m = L.LogBilinear(L.TOP + L.TAIL).start(rng.integers(1, 10**6, L.TOP + L.TAIL))
+    m.theta += rng.normal(0, 0.3, len(m.theta)).astype(np.float32)
+    ctx, word = rng.integers(0, m.size + 1, (50000, 2), np.int32), rng.integers(0, m.size, 50000, np.int32)
+    ctx[0], ctx[1, 1] = m.size, m.size
+
+    def plain(n):
+        s = (m.r.astype(np.float64)[ctx[:n]] * m.c.astype(np.float64)).sum(1) @ m.q.T.astype(np.float64) + m.b
+        top = s.max(1)
+        return s[np.arange(n), word[:n]] - top - np.log(np.exp(s - top[:, None]).sum(1))
+
+    np.testing.assert_allclose(m.logprob(ctx, word)[:2000], plain(2000), atol=2e-5)
+    # every distinct context of every batch went through here before
+    assert not done
+    # exponentials of parts so far apart have products of 0
+    m.r *= 30
+    m.q *= 30
+    got = m.logprob(ctx[:2000], word[:2000])
+    assert done and m.tables() is None and np.isfinite(got).all()
+    np.testing.assert_allclose(got, plain(2000), rtol=1e-4, atol=1e-2)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert L.score(df, *L.train(df)).count() == 0
